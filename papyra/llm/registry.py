@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyra.llm.language_id import identify_languages
 from papyra.llm.line_dedup import dedup_lines
 
 
@@ -17,8 +18,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_line_dedup,)}
+    return {f.__name__: f for f in (op5_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
