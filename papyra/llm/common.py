@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -30,9 +31,18 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it back: lineage ends there, and a lost executor costs nothing of it."""
-    path = table_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = table_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more: it does so only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from papyra.llm.common import content_key, fresh, id_order, materialize
 
@@ -33,9 +34,11 @@ _UPPER = "".join(map(re.escape, (chr(c) for c in range(0x10000) if chr(c).isuppe
 _BORDER = re.compile(rf"\s(?:(?<=\n)|(?<=[.!?]\s)|(?=[{_UPPER}]))")
 
 _LINES = T.StructType([
-    T.StructField("o", T.LongType()), T.StructField("k", T.LongType()), T.StructField("pos", T.IntegerType()),
-    T.StructField("ahead", T.IntegerType()), T.StructField("back", T.IntegerType()), T.StructField("h", T.LongType()),
+    T.StructField("o", T.LongType()), T.StructField("k", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("w", T.IntegerType()),
+    T.StructField("ahead", T.IntegerType()), T.StructField("back", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("hot", T.BooleanType()),
 ])
+#: A line that occurs so often in one batch is known to repeat: two of the batch's rows of it are enough for the shuffle.
+_HOT = 32
 
 
 def split_lines(text: str) -> list[tuple[int, int]]:
@@ -85,47 +88,69 @@ def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         ahead = np.where(to <= end, to - at, 0)
         since = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
         back = np.where((since >= start) & (upto[1:] >= min_words), at + 1 - since, 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(o, n)), pa.array(np.repeat(k, n)), pa.array((at - start).astype(np.int32)), pa.array(ahead.astype(np.int32)), pa.array(back.astype(np.int32)), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))],
-            names=_LINES.names,
-        )
+        h = np.array(hashes, dtype=np.uint64).view(np.int64)
+        order = np.argsort(h, kind="stable")
+        sorted_h = h[order]
+        first = np.searchsorted(sorted_h, sorted_h)
+        often = np.searchsorted(sorted_h, sorted_h, side="right") - first >= _HOT
+        hot = np.zeros(total, dtype=bool)
+        hot[order] = often & (at - first >= 2)
+        columns = (np.repeat(o, n), np.repeat(k, n), (at - start).astype(np.int32), np.array(words, dtype=np.int32), ahead.astype(np.int32), back.astype(np.int32), h, hot)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_LINES.names)
 
 
-def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """``rows`` whose values of ``by`` occur at least twice, with ``r``: their place among those values in sorted order."""
-    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    ranks = groups.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("r", F.monotonically_increasing_id())
-    return materialize(rows.join(ranks, by).drop(*by), name)
+def _ranked(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose (r1, r2) occurs at least twice, with ``r``: the place of that pair in sorted order."""
+    pair = W.partitionBy("r1", "r2")
+    placed = rows.repartitionByRange("r1", "r2").sortWithinPartitions("r1", "r2").withColumn("at", F.monotonically_increasing_id())
+    placed = placed.withColumns({"r": F.min("at").over(pair), "n": F.count(F.lit(1)).over(pair)})
+    return materialize(placed.where("n > 1").select("o", "k", "pos", "r"), name)
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(o, k, cut): for each document, named by order and content key, the numbers of its lines that lie in a run of at
-    least ``min_words`` words that occurs earlier, in a smaller doc_id or before in the same document."""
+    """(o, k, whole, cut): for each document, named by order and content key, whether it is a later copy of a whole text, or
+    else the numbers of its lines that lie in a run of at least ``min_words`` words that occurs earlier, in a smaller
+    doc_id or before in the same document."""
     if not 1 <= min_words < 2**15:
         raise ValueError("min_words must be from 1 to 32767")
     text = docs["text"].cast("string")
     some = docs.select(id_order(docs["doc_id"]).alias("o"), content_key(docs["doc_id"], text).alias("k"), text.alias("text")).where(F.length("text") > 0)
     lines = materialize(some.mapInArrow(lambda it: _lines(it, min_words), _LINES), "lines")
-    level = _ranked(lines, ["h"], "rank0").dropDuplicates(["o", "k", "pos"])
-    first = level = materialize(level, "rank0")
-    ahead = first.where("ahead > 0").select("o", "k", F.col("pos").alias("start"), F.col("ahead").alias("m"))
-    back = first.where("back > 0").select("o", "k", (F.col("pos") - F.col("back") + 1).alias("start"), F.col("back").alias("m"))
-    pieces = ahead.union(back).distinct().withColumn("depth", F.floor(F.log2("m") + 1e-9).cast("int"))
-    top = pieces.agg(F.max("depth")).first()[0]
-    ranks = first.select(F.lit(0).alias("depth"), "o", "k", "pos", "r")
-    for depth in range(1, (top or 0) + 1):
-        here = level.select("o", "k", "pos", F.col("r").alias("r1"))
-        there = level.select("o", "k", (F.col("pos") - 2 ** (depth - 1)).alias("pos"), F.col("r").alias("r2"))
-        level = _ranked(here.join(there, ["o", "k", "pos"]), ["r1", "r2"], f"rank{depth}")
-        ranks = ranks.union(level.select(F.lit(depth).alias("depth"), "o", "k", "pos", "r"))
+
+    # Later copies of whole texts are one repeated run each; the first copy stands for them from here on.
+    same = some.select("o", "k", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    firsts = same.groupBy("t1", "t2").agg(F.min(F.struct("o", "k")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = materialize(same.join(firsts, ["t1", "t2"]).where(F.struct("o", "k") != F.col("f")).select("o", "k").distinct(), "copies")
+    copied = lines.where("pos = 0 and ahead > 0").join(copies, ["o", "k"], "left_semi").select("o", "k").distinct()
+
+    # Lines that occur at least twice, in stretches of enough words: no other can be in a run that counts.
+    often = lines.where("not hot").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).where("n > 1").drop("n")
+    alike = often.unionByName(lines.where("hot")).drop("hot").repartition("o", "k")
+    alike = alike.join(copies, ["o", "k"], "left_anti").dropDuplicates(["o", "k", "pos"])
+    alike = alike.withColumn("stretch", F.col("pos") - F.row_number().over(W.partitionBy("o", "k").orderBy("pos")))
+    alike = alike.withColumn("n", F.sum("w").over(W.partitionBy("o", "k", "stretch"))).where(F.col("n") >= min_words)
+    kept = materialize(alike.select("o", "k", "pos", "ahead", "back", "h"), "stretches")
+
+    pieces = kept.select("o", "k", F.explode(F.array(F.struct(F.col("pos").alias("start"), F.col("ahead").alias("m")), F.struct((F.col("pos") - F.col("back") + 1).alias("start"), F.col("back").alias("m")))).alias("p"))
+    pieces = pieces.select("o", "k", "p.start", "p.m").where("m > 0").distinct().withColumn("depth", F.floor(F.log2("m") + 1e-9).cast("int"))
+    top = kept.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
+    level = _ranked(kept.select("o", "k", "pos", F.col("h").alias("r1"), F.lit(0).alias("r2")), "rank0")
+    ranks = level.withColumn("depth", F.lit(0))
+    for depth in range(1, top.bit_length()):
+        step = 2 ** (depth - 1)
+        after = W.partitionBy("o", "k").orderBy("pos").rangeBetween(step, step)
+        level = _ranked(level.withColumn("r2", F.max("r").over(after)).where("r2 is not null").withColumnRenamed("r", "r1"), f"rank{depth}")
+        ranks = ranks.unionByName(level.withColumn("depth", F.lit(depth)))
     begin = ranks.select("depth", "o", "k", F.col("pos").alias("start"), F.col("r").alias("ra"))
     close = ranks.select("depth", "o", "k", F.col("pos").alias("last"), F.col("r").alias("rb"))
     named = pieces.join(begin, ["depth", "o", "k", "start"]).withColumn("last", F.expr("start + m - cast(pow(2, depth) as int)")).join(close, ["depth", "o", "k", "last"])
-    named = materialize(named.select("o", "k", "start", "m", "ra", "rb"), "pieces")
-    firsts = named.groupBy("m", "ra", "rb").agg(F.min(F.struct("o", "k", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = named.join(firsts, ["m", "ra", "rb"]).where(F.struct("o", "k", "start") != F.col("f"))
+    interval = W.partitionBy("m", "ra", "rb")
+    named = named.select("o", "k", "start", "m", "ra", "rb").withColumn("f", F.min(F.struct("o", "k", "start")).over(interval))
+    later = named.where(F.struct("o", "k", "start") != F.col("f"))
     cut = later.select("o", "k", F.explode(F.sequence(F.col("start"), F.expr("start + m - 1"))).alias("line"))
-    return cut.groupBy("o", "k").agg(F.collect_set("line").alias("cut"))
+    cut = cut.groupBy("o", "k").agg(F.collect_set("line").alias("cut")).select("o", "k", F.lit(False).alias("whole"), "cut")
+    whole = copied.select("o", "k", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("cut"))
+    return materialize(cut.unionByName(whole), "cuts")
 
 
 def _without(text: pd.Series, cut: pd.Series) -> pd.Series:
@@ -148,14 +173,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, drop_emptied: bool = True)
     empty table gives an empty table. If ``n_chars`` is a column it is left as it was.
     """
     cuts = repeated_lines(docs, min_words)
-    o, k, cut = fresh(docs, "__order"), fresh(docs, "__key"), fresh(docs, "__cut")
+    o, k, cut, whole = (fresh(docs, c) for c in ("__order", "__key", "__cut", "__whole"))
     text = docs["text"].cast("string")
-    joined = docs.withColumns({o: id_order(docs["doc_id"]), k: content_key(docs["doc_id"], text)}).join(
-        cuts.select(F.col("o").alias(o), F.col("k").alias(k), F.col("cut").alias(cut)).hint("shuffle_hash"), [o, k], "left"
-    )
+    cuts = cuts.select(F.col("o").alias(o), F.col("k").alias(k), F.col("cut").alias(cut), F.col("whole").alias(whole))
+    joined = docs.withColumns({o: id_order(docs["doc_id"]), k: content_key(docs["doc_id"], text)}).join(cuts.hint("shuffle_hash"), [o, k], "left")
     hit = F.col(cut).isNotNull()
     new = F.pandas_udf(_without, T.StringType())(F.when(hit, F.col("text")), F.when(hit, F.col(cut)))
-    result = joined.withColumn("text", F.when(hit, new).otherwise(F.col("text")))
+    if drop_emptied:
+        joined = joined.where(f"not coalesce({whole}, false)")
+    result = joined.withColumn("text", F.when(hit, new).when(F.col(whole), F.lit("")).otherwise(F.col("text")))
     if drop_emptied:
         result = result.where(F.col(cut).isNull() | (F.length("text") > 0))
     return result.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from papyra.llm.decontaminate import find_leaks
 from papyra.llm.language_id import identify_languages
 from papyra.llm.line_dedup import dedup_lines
+from papyra.llm.pieces import encode_pieces
+
+#: Where the vocabulary files lie.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +28,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", F.round("similarity", 6).alias("similarity"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), model_file)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op3_sentencepiece, op5_line_dedup, op7_decontaminate, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
