@@ -61,3 +61,25 @@ def content_key(doc_id: Column, text: Column) -> Column:
 def id_order(doc_id: Column) -> Column:
     """Ids in order, null ids last."""
     return F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
+
+
+def whole_groups(batches, key: int):
+    """Record batches sorted by column ``key``, joined and cut anew so that no group is split."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[-1].column(key)[held[-1].num_rows - 1] != batch.column(key)[batch.num_rows - 1]:
+            last = batch.column(key)[batch.num_rows - 1]
+            cut = pc.index(batch.column(key), last).as_py()
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        elif held:
+            held.append(batch)
+        else:
+            held = [batch]
+    if held:
+        yield pa.Table.from_batches(held)
