@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.decontaminate import find_leaks
+from papyra.llm.jaccard_join import jaccard_pairs
 from papyra.llm.language_id import identify_languages
 from papyra.llm.line_dedup import dedup_lines
 from papyra.llm.pieces import encode_pieces
@@ -28,18 +29,41 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+_JACCARD_SQL = r"""
+WITH w AS (
+  SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE text IS NOT NULL
+), g AS (
+  SELECT DISTINCT doc_id, text, CASE WHEN len(ws) < 3 THEN list_aggregate(ws, 'string_agg', ' ')
+    ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS gram
+  FROM (SELECT doc_id, text, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), s AS (SELECT doc_id, text, count(*) AS n FROM g GROUP BY ALL),
+p AS (
+  SELECT a.doc_id AS da, a.text AS ta, b.doc_id AS db, b.text AS tb, count(*) AS o
+  FROM g a JOIN g b ON a.gram = b.gram AND (a.doc_id, a.text) < (b.doc_id, b.text) GROUP BY ALL
+)
+SELECT da AS doc_a, db AS doc_b, round(o / (x.n + y.n - o), 6) AS jaccard
+FROM p JOIN s x ON x.doc_id = da AND x.text = ta JOIN s y ON y.doc_id = db AND y.text = tb
+WHERE o >= ceil(0.6 / 1.6 * (x.n + y.n) - 1e-9)
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "first_word", F.round("similarity", 6).alias("similarity"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_pairs(_table(spark, sf_dir, "documents"))
+    return found.select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"), model_file)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op5_line_dedup, op7_decontaminate, op10_language_id)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_jaccard_join, op5_line_dedup, op7_decontaminate, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_jaccard_join": _JACCARD_SQL}
