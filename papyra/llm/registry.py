@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.llm.common import table_path
 from papyra.llm.decontaminate import find_leaks
 from papyra.llm.jaccard_join import jaccard_pairs
 from papyra.llm.language_id import identify_languages
+from papyra.llm.license_scan import scan_licenses
 from papyra.llm.line_dedup import dedup_lines
 from papyra.llm.pieces import encode_pieces
+from papyra.llm.secret_scan import scan_secrets
+from papyra.llm.token_counts import count_tokens
+from papyra.llm.va_search import top_k
 
 #: Where the vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -61,9 +66,35 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOK
     return encode_pieces(_table(spark, sf_dir, "documents"), model_file)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """Each call starts a cache of its own, so that it counts the whole table."""
+    return count_tokens(_table(spark, sf_dir, "documents"), table_path(spark, "token-cache"), vocabulary)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+_TOP_K_SQL = """
+WITH d AS (
+  SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM d)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= 10
+"""
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_jaccard_join, op5_line_dedup, op7_decontaminate, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_sentencepiece, op4_jaccard_join, op5_line_dedup, op7_decontaminate, op8_license_scan, op9_exact_top_k, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": _JACCARD_SQL}
+    return {"op4_jaccard_join": _JACCARD_SQL, "op9_exact_top_k": _TOP_K_SQL}

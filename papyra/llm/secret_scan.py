@@ -19,6 +19,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,6 +123,7 @@ def _walk(span: str) -> float | None:
     return math.log10(47 * len(span)) + turns * math.log10(4.6)
 
 
+@lru_cache(maxsize=1 << 14)
 def _repeat(span: str) -> float | None:
     if not 2 <= len(span) <= LIMIT:
         return None
@@ -190,7 +192,8 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
             c = best[i] + cost + (JOIN if i else 0.0)
             if c < best[j]:
                 best[j], back[j] = c, (i, kind)
-    spans, j = [], n
+    spans: list[tuple[int, int, str]] = []
+    j = n
     while j:
         i, kind = back[j]
         spans.append((i, j, kind))
