@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm.common import table_path
 from papyra.llm.decontaminate import find_leaks
+from papyra.llm.hmm import score
 from papyra.llm.jaccard_join import jaccard_pairs
 from papyra.llm.language_id import identify_languages
 from papyra.llm.license_scan import scan_licenses
@@ -75,6 +76,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKE
     return count_tokens(_table(spark, sf_dir, "documents"), table_path(spark, "token-cache"), vocabulary)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -93,7 +98,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_sentencepiece, op4_jaccard_join, op5_line_dedup, op7_decontaminate, op8_license_scan, op9_exact_top_k, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_sentencepiece, op4_jaccard_join, op5_line_dedup, op6_lm_scoring, op7_decontaminate, op8_license_scan, op9_exact_top_k, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
