@@ -41,7 +41,7 @@ RANK = {w: i + 1 for i, w in reversed(list(enumerate(dict.fromkeys(_WORDS))))}
 _LONGEST = max(map(len, RANK))
 _LOOK = {"0": "o", "1": "l", "3": "e", "4": "a", "@": "a", "$": "s", "5": "s", "7": "t", "!": "i", "|": "l"}
 _ROWS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
-_SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\;',./")
+_SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 _KEYS = {c: (x, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row) if c != " "}
 _DIGITS = re.compile(r"\d{4,8}\Z")
 _PARTS = re.compile(r"(\d{1,4})([-/._ ])(\d{1,2})\2(\d{1,4})\Z")
