@@ -284,7 +284,7 @@ def _works(spark, sf_dir):
 
 def _found_books(spark, sf_dir):
     p = _table(spark, sf_dir, "benchmark")
-    return p.select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("book_id"), F.array_join(F.slice(F.split("text", r"\s+"), 2, 3), " ").alias("title"))
+    return p.select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("book_id"), F.array_join(F.slice(F.split("text", r"\s+"), 2, 2), " ").alias("title"))
 
 
 _PHRASE = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}} ]', '', 'g'), ' +', ' ', 'g'))"
