@@ -327,7 +327,10 @@ def jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFr
 
 
 def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
-    """``docs`` with one document of each group that ``jaccard_pairs`` connects: the first by doc_id. Cases as there; columns unchanged."""
+    """``docs`` with one document of each group that ``jaccard_pairs`` connects: the first by doc_id.
+
+    Cases as there; rows that repeat a document that stays, stay with it. Columns unchanged.
+    """
     pairs, sets, same = similar_sets(docs, n, threshold)
     who = sets.select("id", F.struct("o", "k").alias("d"))
     # Nodes are numbered in document order, so that the least of a component is its first document.
@@ -335,7 +338,9 @@ def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFra
     nodes = named.select(F.col("dx").alias("d")).union(named.select(F.col("dy").alias("d"))).distinct()
     nodes = materialize(nodes.repartitionByRange("d").sortWithinPartitions("d").withColumn("v", F.monotonically_increasing_id()), "nodes")
     edges = named.join(nodes.toDF("dx", "vx"), "dx").join(nodes.toDF("dy", "vy"), "dy").select("vx", "vy")
-    gone = components(edges).select(F.col("a").alias("v")).join(nodes, "v").select("d.o", "d.k").union(same.select("o", "k").distinct())
+    gone = components(edges).select(F.col("a").alias("v")).join(nodes, "v").select("d.o", "d.k")
+    # Rows that repeat the first document's doc_id and text are that document.
+    gone = gone.union(same.where((F.col("o") != F.col("first_o")) | (F.col("k") != F.col("first_k"))).select("o", "k").distinct())
     o, k = fresh(docs, "__order"), fresh(docs, "__key")
     gone = materialize(gone, "gone").toDF(o, k)
     text = docs["text"].cast("string")
