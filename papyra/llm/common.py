@@ -36,7 +36,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    written = spark.read.schema(schema).parquet(path)
+    written.papyra_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.papyra_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
