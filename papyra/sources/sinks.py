@@ -18,8 +18,8 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def read_chunk(spark: SparkSession, path: str, book_id: str, seq: int) -> DataFrame:
     """One chunk of a book; no row for a place it does not have. Only its shard is read."""
-    rows = spark.read.parquet(path)
-    return rows.where((F.col("shard").cast("string") == book_id[:2].rjust(2, "0")) & (F.col("book_id") == book_id) & (F.col("seq") == seq))
+    rows = spark.read.schema(f"{schemas.CHUNKS}, shard string").parquet(path)
+    return rows.where((F.col("shard") == book_id[:2].rjust(2, "0")) & (F.col("book_id") == book_id) & (F.col("seq") == seq))
 
 
 def write_rejects(rows: DataFrame, path: str) -> None:
