@@ -27,7 +27,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Raise it when normalisation or encoding changes: counts of other versions are then no hits.
 VERSION = "1"
 CACHE = "content binary, tokenizer string, n_tokens long"
-_PIECE = 1 << 20
 
 
 def normalise(text: str) -> str:
@@ -51,7 +50,8 @@ def count_one(text: str, vocabulary: str) -> int:
     return len(_encoding(vocabulary).encode_ordinary(text))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, content), with ``texts`` also the normalised text, compressed for the shuffle."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
@@ -60,8 +60,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batch.column(1).to_pylist():
                 raw = None if t is None else normalise(t).encode("utf-8")
                 content.append(None if raw is None else hashlib.sha256(raw).digest())
-                packed.append(None if raw is None else pack(raw))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "content", "packed"])
+                if texts:
+                    packed.append(None if raw is None else pack(raw))
+            columns = {"doc_id": batch.column(0), "content": pa.array(content, pa.binary())} | ({"packed": pa.array(packed, pa.binary())} if texts else {})
+            yield pa.RecordBatch.from_pydict(columns)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +85,8 @@ def count_tokens(docs: DataFrame, cache: str, vocabulary: str) -> DataFrame:
     """
     spark, tokenizer = docs.sparkSession, tokenizer_digest(vocabulary)
     some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = materialize(some.mapInArrow(_digests, "doc_id long, content binary, packed binary"), "digests")
+    rows = materialize(some.mapInArrow(lambda it: _digests(it, False), "doc_id long, content binary"), "digests")
+    packed = some.where("text is not null").mapInArrow(lambda it: _digests(it, True), "doc_id long, content binary, packed binary")
 
     def known() -> DataFrame:
         # A count is a function of the two digests, so any of repeated entries will do.
@@ -97,7 +100,8 @@ def count_tokens(docs: DataFrame, cache: str, vocabulary: str) -> DataFrame:
             counts = [count_one(unpack(b).decode("utf-8"), vocabulary) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["content", "n_tokens"])
 
-    misses = rows.where("content is not null").select("content", "packed").join(before, "content", "left_anti").dropDuplicates(["content"])
+    # Digests are cheap to make twice; texts kept in a table as well as in the shuffle would take twice the disk.
+    misses = packed.select("content", "packed").join(before, "content", "left_anti").dropDuplicates(["content"])
     counted = misses.mapInArrow(encode, "content binary, n_tokens long")
     fresh_counts = materialize(counted, "counted")
     fresh_counts.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
