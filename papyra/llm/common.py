@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trimmed(rows: Iterator) -> Iterator:
+    """``rows``; once they are over, memory that a Python worker no longer uses goes back to the system: workers live on to the next stage."""
+    yield from rows
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its names."""
     taken = {c.lower() for c in df.columns}
@@ -74,7 +88,6 @@ def id_order(doc_id: Column) -> Column:
 
 def whole_groups(batches, key: int):
     """Record batches sorted by column ``key``, joined and cut anew so that no group is split."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     held: list = []

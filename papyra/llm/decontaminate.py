@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import content_key, fresh
+from papyra.llm.common import content_key, fresh, trimmed
 
 _WORD = re.compile(r"\w+")
 SHINGLE = 3
@@ -206,7 +206,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = 11, threshol
         part = items[at : at + ITEMS_A_PASS]
         own = {s: count[s] for _, t in part for s in shingles(words_of(t), SHINGLE)}
         shared = spark.sparkContext.broadcast((part, own, len(items)))  # at most ITEMS_A_PASS items
-        found = found.union(some.mapInArrow(lambda it, s=shared: _search(it, s, radius, threshold), out)) if at else some.mapInArrow(lambda it, s=shared: _search(it, s, radius, threshold), out)
+        found = found.union(some.mapInArrow(lambda it, s=shared: trimmed(_search(it, s, radius, threshold)), out)) if at else some.mapInArrow(lambda it, s=shared: trimmed(_search(it, s, radius, threshold)), out)
     return found
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import content_key, fresh, id_order, materialize, whole_groups
+from papyra.llm.common import content_key, fresh, id_order, materialize, trimmed, whole_groups
 from papyra.llm.components import components
 
 _WORD = re.compile(r"\w+")
@@ -265,8 +265,8 @@ def similar_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> tuple[D
     bits = max(4, math.ceil(math.log2(4 * parts)))
     text = docs["text"].cast("string")
     some = docs.select(id_order(docs["doc_id"]).alias("o"), content_key(docs["doc_id"], text).alias("k"), text.alias("text")).where(F.length("text") > 0)
-    packed = some.mapInArrow(lambda it: _grams(it, n, bits), _PACKED).repartition(parts, "bucket", F.when(F.col("bucket") < 0, F.col("batch")))
-    packed = materialize(packed.mapInArrow(_repeated, _PACKED), "grams")
+    packed = some.mapInArrow(lambda it: trimmed(_grams(it, n, bits)), _PACKED).repartition(parts, "bucket", F.when(F.col("bucket") < 0, F.col("batch")))
+    packed = materialize(packed.mapInArrow(lambda it: trimmed(_repeated(it)), _PACKED), "grams")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +285,7 @@ def similar_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> tuple[D
             yield _packed([(-2, b, np.array(d, dtype="<i4").tobytes(), None) for b, d in zip(*(c.to_pylist() for c in batch.columns))])
 
     ordered = packed.unionByName(leave.mapInArrow(names, _PACKED)).repartition("batch").sortWithinPartitions("batch", "bucket")
-    sets = materialize(ordered.mapInArrow(lambda it: _sets(it, t), _SETS).withColumn("id", F.monotonically_increasing_id()), "sets")
+    sets = materialize(ordered.mapInArrow(lambda it: trimmed(_sets(it, t)), _SETS).withColumn("id", F.monotonically_increasing_id()), "sets")
     prefixes = sets.select("id", "size", "common", "grams").mapInArrow(lambda it: _prefixes(it, t), "gram long, id long, size int, pos int")
     prefixes = materialize(prefixes, "prefixes")
     a, b = (prefixes.select("gram", *[F.col(c).alias(c + s) for c in ("id", "size", "pos")]) for s in ("1", "2"))
@@ -301,7 +301,7 @@ def similar_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> tuple[D
     needs = placed.select("g", F.col("x").alias("id")).union(placed.select("g", F.col("y").alias("id"))).distinct()
     rows = needs.join(sets, "id").select("g", F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "size", "ranges", "grams")
     rows = rows.unionByName(placed.select("g", "x", "y"), allowMissingColumns=True).repartition("g").sortWithinPartitions("g")
-    good = rows.mapInArrow(lambda it: _verified(it, t), "x long, y long, jaccard double")
+    good = rows.mapInArrow(lambda it: trimmed(_verified(it, t)), "x long, y long, jaccard double")
     return materialize(good, "pairs"), sets.select("id", "o", "k"), later.select("o", "k", "first_o", "first_k")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import content_key, fresh
+from papyra.llm.common import content_key, fresh, trimmed
 
 BITS = 14
 DIM = 1 << BITS
@@ -158,7 +158,7 @@ def train(docs: DataFrame, sample_rows: int = 2000, label: str = "lang") -> Mode
     all texts with letters get it.
     """
     text = docs["text"].cast("string")
-    df = docs.select(text.alias("t")).where(F.length("t") > 0).mapInArrow(_frequencies, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    df = docs.select(text.alias("t")).where(F.length("t") > 0).mapInArrow(lambda it: trimmed(_frequencies(it)), "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
     seen = np.zeros(DIM + 1)
     for g, n in df.collect():  # at most DIM + 1 rows
         seen[g] = n

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import content_key, discard, fresh, id_order, materialize, whole_groups
+from papyra.llm.common import content_key, discard, fresh, id_order, materialize, trimmed, whole_groups
 
 _UPPER = "".join(map(re.escape, (chr(c) for c in range(0x10000) if chr(c).isupper())))
 _BORDER = re.compile(rf"\s(?:(?<=\n)|(?<=[.!?]\s)|(?=[{_UPPER}]))")
@@ -363,8 +363,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     text = docs["text"].cast("string")
     some = docs.select(id_order(docs["doc_id"]).alias("o"), content_key(docs["doc_id"], text).alias("k"), text.alias("text")).where(F.length("text") > 0)
     spread = (F.col("bucket"), F.when(F.col("kind") == 0, F.col("batch")))
-    lines = some.mapInArrow(lambda it: _lines(it, min_words, bits), _ROWS).repartition(parts, *spread)
-    lines = materialize(lines.mapInArrow(_repeats, _ROWS), "lines")
+    lines = some.mapInArrow(lambda it: trimmed(_lines(it, min_words, bits)), _ROWS).repartition(parts, *spread)
+    lines = materialize(lines.mapInArrow(lambda it: trimmed(_repeats(it)), _ROWS), "lines")
 
     # Later copies of whole texts are one repeated run each; the first copy stands for them from here on.
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +386,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
     leave = copies.groupBy("batch").agg(F.collect_list("doc").alias("docs")).mapInArrow(names, _ROWS)
     by_batch = lines.unionByName(leave).repartition(parts, "batch").sortWithinPartitions("batch", "kind", "bucket")
-    state = materialize(by_batch.mapInArrow(lambda it: _stretches(it, min_words, bits), _ROWS), "stretches")
+    state = materialize(by_batch.mapInArrow(lambda it: trimmed(_stretches(it, min_words, bits)), _ROWS), "stretches")
     discard(lines)
 
     cuts = []

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from papyra.llm.common import trimmed
+
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITMAP_BITS = 22
@@ -295,9 +297,10 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
                 same = [None if t is None else b == t.replace(SPACE, " ") for t, b in zip(texts, back)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(counts.astype(np.int32)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
+        coder.forget()
 
     out = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(lambda it: trimmed(run(it)), out)
 
 
 def decode_pieces(encoded: DataFrame, model_file: str) -> DataFrame:
