@@ -273,6 +273,20 @@ def test_lm_training(spark):
     assert hmm.score(odd(spark)).count() == 6 and hmm.score(odd(spark).limit(0)).count() == 0
 
 
+def test_lm_vocabulary_grows(spark):
+    """Twice the words, twice the symbols; a pooled word has a share of its class."""
+    sizes = []
+    for n in (40_000, 80_000):
+        d = docs(spark, [" ".join(f"w{i}" for i in range(at, at + 1000)) for at in range(0, n, 1000)] * 2 + ["onceab twiceab thriceab."])
+        model, _, _ = hmm.fit(d, states=2, rounds=1)
+        sizes.append(len(model.words))
+    assert sizes == [40_000, 80_000]
+    rare = np.array([w in model.words for w in ("onceab", "twiceab", "thriceab", ".")])
+    assert not rare.any() and model.types[hmm.rare_class("onceab")] == 3
+    total = model.emit[hmm.CLASSES :].sum(axis=0) + (model.emit[: hmm.CLASSES] * np.maximum(model.types, 1)[:, None]).sum(axis=0)
+    assert np.allclose(total, 1) and (model.emit[hmm.rare_class("onceab")] < 2 / 160_000).all()
+
+
 # 7 decontamination
 
 
