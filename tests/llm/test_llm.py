@@ -287,6 +287,15 @@ def test_lm_vocabulary_grows(spark):
     assert np.allclose(total, 1) and (model.emit[hmm.rare_class("onceab")] < 2 / 160_000).all()
 
 
+def test_lm_training_converges(spark):
+    """Two kinds of words in turn: a model whose states are trained knows which comes, a bit a symbol less than word frequencies say."""
+    rng = random.Random(16)
+    d = docs(spark, [" ".join(f"{'ab'[j % 2]}{rng.randrange(8)}" for j in range(40)) for _ in range(60)])
+    model, _, history = hmm.fit(d, states=2)
+    n = 60 * 40
+    assert history[-1] / n == pytest.approx(-math.log(8), abs=0.05) and history[-1] - history[-4] < 1e-4 * abs(history[-1])
+
+
 # 7 decontamination
 
 
