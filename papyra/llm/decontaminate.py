@@ -2,7 +2,7 @@
 
 Texts are lower-cased words. An item of L words is looked for in every window of L words of every document that shares a
 shingle (three words; the whole item if it has fewer) with an item of that length: any other window has similarity 0. A
-window's 64-bit fingerprint is the sign of the sums of its words' hash bits, taken from running sums. Fingerprints are
+document of fewer words is one window. A window's 64-bit fingerprint is the sign of the sums of its words' hash bits, taken from running sums. Fingerprints are
 cut into radius + 1 blocks; two within the radius agree in a block, so looking up each block finds all of them. What is
 found is verified: weighted Jaccard similarity of the shingle multisets of window and item, a shingle's weight being
 log(1 + items / items that have it).
@@ -159,11 +159,10 @@ class Benchmark:
                 if not len(p):
                     continue
                 lo = np.maximum(p - length + n, start_of[p])
-                hi = np.minimum(p, end_of[p] - length)
-                ok = lo <= hi
-                wanted[length].append((lo[ok], hi[ok] + 1))
+                hi = np.maximum(np.minimum(p, end_of[p] - length), start_of[p])  # a shorter document is one window
+                wanted[length].append((lo, hi + 1))
         starts = {n: np.unique(np.concatenate([_ranges(lo, hi) for lo, hi in m])) for n, m in wanted.items()}
-        needed = np.unique(np.concatenate([_ranges(lo, hi + n - 1) for n, m in wanted.items() for lo, hi in m])) if wanted else []
+        needed = np.unique(np.concatenate([_ranges(lo, np.minimum(hi + n - 1, end_of[lo])) for n, m in wanted.items() for lo, hi in m])) if wanted else []
         if not len(needed):
             return []
         compact = np.zeros(len(ids) + 1, dtype=np.int64)
@@ -175,9 +174,10 @@ class Benchmark:
             which, index = self.index[n]
             for part in np.array_split(s, max(1, len(s) // 20_000)):
                 c = compact[part]
-                row, found = index.within(_pack(running[c + n] - running[c]))
-                for p, k in zip(part[row].tolist(), which[found].tolist()):
-                    sim = self.similarity(words[p : p + n], k)
+                size = np.minimum(n, end_of[part] - part)
+                row, found = index.within(_pack(running[c + size] - running[c]))
+                for p, m, k in zip(part[row].tolist(), size[row].tolist(), which[found].tolist()):
+                    sim = self.similarity(words[p : p + m], k)
                     key = int(document[p]), k
                     if sim >= self.threshold and (key not in best or (sim, -p) > (best[key][0], -best[key][1])):
                         best[key] = sim, p
