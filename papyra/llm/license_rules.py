@@ -1,6 +1,6 @@
 """Signature rules for licences: ``identifier | priority | keywords | pattern``, a rule a line, in order.
 
-All keywords (lower case, comma-separated) must be in a text for the pattern to be tried. In a pattern a space matches any
+All keywords (lower case, comma-separated; of some joined by a slash, one) must be in a text for the pattern to be tried. In a pattern a space matches any
 white space and comment marks at line starts. Patterns ignore case, except where they say ``(?-i:...)``. Priority 90: the
 body of a licence; 80: a machine-readable tag; 70: a notice with name and version; 50: a name; 30: a hint.
 """
@@ -14,13 +14,13 @@ Apache-2.0|70|apache|Apache(?: Software)? Licen[sc]e,? Version 2(?:\.0)?\b
 Apache-2.0|50|apache|Apache(?: Software)?(?: Licen[sc]e)?[ -](?:v(?:ersion)?\.? ?)?2\.0\b
 Apache-2.0|50|apache.org|https?://(?:www\.)?apache\.org/licenses/LICENSE-2\.0(?:\.txt|\.html)?
 Apache-2.0|50|opensource.org,apache|https?://(?:www\.)?opensource\.org/licenses?/apache-2\.0
-Apache-1.1|90|apache,acknowledgment|Apache Software License,? Version 1\.1\b.{0,400}?end-user documentation
+Apache-1.1|90|apache,documentation|Apache Software License,? Version 1\.1\b.{0,400}?end-user documentation
 Apache-1.1|80|spdx,apache|SPDX-License-Identifier: ?\(?Apache-1\.1\b
 Apache-1.1|70|apache|Apache(?: Software)? Licen[sc]e,? (?:Version|v\.?) ?1\.1\b
 Apache-1.0|80|spdx,apache|SPDX-License-Identifier: ?\(?Apache-1\.0\b
 Apache-1.0|70|apache|Apache(?: Software)? Licen[sc]e,? (?:Version|v\.?) ?1\.0\b
 Apache|30|apache|(?:under|by) (?:the )?(?:terms of )?(?:the )?Apache(?: Software)? Licen[sc]e\b
-MIT|90|permission,merchantability|Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.{0,1200}?THE SOFTWARE IS PROVIDED "?AS IS"?
+MIT|90|permission,charge|Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.{0,1200}?THE SOFTWARE IS PROVIDED "?AS IS"?
 MIT|70|permission,charge|Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 MIT|80|spdx,mit|SPDX-License-Identifier: ?\(?(?-i:MIT)(?![\w-])
 MIT|70|mit|(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?-i:MIT)(?: (?:Software )?Licen[sc]e)?\b
@@ -33,22 +33,22 @@ MIT-0|50|attribution|MIT No Attribution(?: Licen[sc]e)?\b
 X11|80|spdx,x11|SPDX-License-Identifier: ?\(?X11\b
 X11|50|x11|(?:MIT/)?X11 Licen[sc]e\b
 X11|90|consortium,permission|Copyright \(C\) \d{4} X Consortium.{0,200}?Permission is hereby granted
-GPL-3.0-or-later|90|gnu,warranty|GNU General Public License as published by the Free Software Foundation,? either version 3 of the License,? or \(at your option\) any later version
-GPL-3.0-only|90|gnu,preamble|GNU GENERAL PUBLIC LICENSE,? Version 3,? 29 June 2007\b
+GPL-3.0-or-later|90|gnu,later|GNU General Public License as published by the Free Software Foundation,? either version 3 of the License,? or \(at your option\) any later version
+GPL-3.0-only|90|gnu,june|GNU GENERAL PUBLIC LICENSE,? Version 3,? 29 June 2007\b
 GPL-3.0-or-later|80|spdx,gpl|SPDX-License-Identifier: ?\(?GPL-3\.0(?:-or-later|\+)
 GPL-3.0-only|80|spdx,gpl|SPDX-License-Identifier: ?\(?GPL-3\.0(?:-only)?(?![\w+-])
-GPL-3.0-or-later|70|gnu,later|GNU General Public Licen[sc]e,? (?:version |v\.? ?)?3(?:\.0)? or (?:\(at your option\) )?(?:any )?(?:later|newer|above)\b
+GPL-3.0-or-later|70|gnu,later/newer/above|GNU General Public Licen[sc]e,? (?:version |v\.? ?)?3(?:\.0)? or (?:\(at your option\) )?(?:any )?(?:later|newer|above)\b
 GPL-3.0-only|70|gnu|(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?GNU General Public Licen[sc]e,? \(?(?:version |v\.? ?)3(?:\.0)?\b\)?
 GPL-3.0-only|70|gnu|GNU General Public Licen[sc]e,? \(?(?:version |v\.? ?)3(?:\.0)?\b\)?
 GPL-3.0-only|50|gpl|\b(?:GNU )?(?-i:GPL)[ -]?(?:version |v\.? ?)?3(?:\.0)?(?![\d.]\d|\+|[\w])
 GPL-3.0-or-later|50|gpl|\b(?:GNU )?(?-i:GPL)[ -]?(?:version |v\.? ?)?3(?:\.0)?(?:\+| or (?:any )?later\b)
 GPL-3.0-only|50|gnu.org,gpl|https?://(?:www\.)?gnu\.org/licenses/gpl-3\.0(?:\.en)?(?:\.html|\.txt)?
 GPL-2.0-or-later|90|gnu,later|GNU General Public License as published by the Free Software Foundation;? either version 2 of the License,? or \(at your option\) any later version
-GPL-2.0-only|90|gnu,preamble|GNU GENERAL PUBLIC LICENSE,? Version 2,? June 1991\b
+GPL-2.0-only|90|gnu,june|GNU GENERAL PUBLIC LICENSE,? Version 2,? June 1991\b
 GPL-2.0-only|90|gnu,published|GNU General Public License,? version 2,? as published by the Free Software Foundation\b
 GPL-2.0-or-later|80|spdx,gpl|SPDX-License-Identifier: ?\(?GPL-2\.0(?:-or-later|\+)
 GPL-2.0-only|80|spdx,gpl|SPDX-License-Identifier: ?\(?GPL-2\.0(?:-only)?(?![\w+-])
-GPL-2.0-or-later|70|gnu,later|GNU General Public Licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)? or (?:\(at your option\) )?(?:any )?(?:later|newer|above)\b
+GPL-2.0-or-later|70|gnu,later/newer/above|GNU General Public Licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)? or (?:\(at your option\) )?(?:any )?(?:later|newer|above)\b
 GPL-2.0-only|70|gnu|GNU General Public Licen[sc]e,? \(?(?:version |v\.? ?)2(?:\.0)?\b\)?
 GPL-2.0-only|50|gpl|\b(?:GNU )?(?-i:GPL)[ -]?(?:version |v\.? ?)?2(?:\.0)?(?![\d.]\d|\+|[\w])
 GPL-2.0-or-later|50|gpl|\b(?:GNU )?(?-i:GPL)[ -]?(?:version |v\.? ?)?2(?:\.0)?(?:\+| or (?:any )?later\b)
@@ -56,8 +56,8 @@ GPL-2.0-only|50|gnu.org,gpl|https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses
 GPL-2.0-with-classpath-exception|80|spdx,classpath|SPDX-License-Identifier: ?\(?GPL-2\.0(?:-only|-or-later)? WITH Classpath-exception-2\.0
 GPL-2.0-with-classpath-exception|70|classpath|GNU General Public Licen[sc]e.{0,120}?with (?:the )?(?:GNU )?"?Classpath"? exception
 GPL-1.0-or-later|80|spdx,gpl|SPDX-License-Identifier: ?\(?GPL-1\.0(?:-or-later|\+)
-GPL-1.0-only|90|gnu,preamble|GNU GENERAL PUBLIC LICENSE,? Version 1,? February 1989\b
-GPL-1.0-or-later|50|gnu,general|(?:GNU )?General Public Licen[sc]e\b
+GPL-1.0-only|90|gnu,february|GNU GENERAL PUBLIC LICENSE,? Version 1,? February 1989\b
+GPL-1.0-or-later|50|general|(?:GNU )?General Public Licen[sc]e\b
 GPL-1.0-or-later|30|gnu,gpl|\bGNU (?-i:GPL)\b
 GPL-1.0-or-later|30|gpl|(?:licen[sc]ed|released|distributed|available) under (?:the )?(?-i:GPL)\b
 LGPL-3.0-or-later|90|gnu,lesser,later|GNU Lesser General Public License as published by the Free Software Foundation,? either version 3(?:\.0)? of the License,? or \(at your option\) any later version
@@ -149,8 +149,8 @@ EDL-1.0|50|eclipse|Eclipse Distribution Licen[sc]e(?:,? (?:version |v\.? ?)?1(?:
 CPL-1.0|70|common|\bCommon Public Licen[sc]e(?:,? (?:version |v\.? ?)?1\.0)?\b
 CPL-1.0|80|spdx,cpl|SPDX-License-Identifier: ?\(?CPL-1\.0\b
 IPL-1.0|50|ibm|IBM Public Licen[sc]e(?:,? (?:version |v\.? ?)?1\.0)?\b
-CDDL-1.1|70|cddl|(?:Common Development and Distribution Licen[sc]e|\bCDDL),?[ -]\(?(?:CDDL\) )?(?:version |v\.? ?)?1\.1\b
-CDDL-1.0|70|cddl|(?:Common Development and Distribution Licen[sc]e|\bCDDL),?[ -]\(?(?:CDDL\) )?(?:version |v\.? ?)?1\.0\b
+CDDL-1.1|70|cddl/development|(?:Common Development and Distribution Licen[sc]e|\bCDDL),?[ -]\(?(?:CDDL\) )?(?:version |v\.? ?)?1\.1\b
+CDDL-1.0|70|cddl/development|(?:Common Development and Distribution Licen[sc]e|\bCDDL),?[ -]\(?(?:CDDL\) )?(?:version |v\.? ?)?1\.0\b
 CDDL-1.0|80|spdx,cddl|SPDX-License-Identifier: ?\(?CDDL-1\.0\b
 CDDL-1.1|80|spdx,cddl|SPDX-License-Identifier: ?\(?CDDL-1\.1\b
 CDDL-1.0|50|development|Common Development and Distribution Licen[sc]e\b
@@ -233,17 +233,17 @@ OGL-UK|30|government|Open Government Licen[sc]e\b
 Unlicense|90|unencumbered|This is free and unencumbered software released into the public domain
 Unlicense|80|spdx,unlicense|SPDX-License-Identifier: ?\(?Unlicense\b
 Unlicense|50|unlicense|(?:the )?\bUnlicense\b
-WTFPL|90|wtfpl,condition|DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE.{0,400}?TERMS AND CONDITIONS FOR COPYING
+WTFPL|90|want,condition|DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE.{0,400}?TERMS AND CONDITIONS FOR COPYING
 WTFPL|80|spdx,wtfpl|SPDX-License-Identifier: ?\(?WTFPL\b
 WTFPL|70|want|Do What The F(?:uck|\*ck) You Want To Public Licen[sc]e(?:,? Version 2)?\b
 WTFPL|50|wtfpl|\b(?-i:WTFPL)\b
-Zlib|90|misrepresented,altered|This software is provided ['"‘]?as-is['"’]?,? without any express or implied warranty.{0,700}?must not be misrepresented
+Zlib|90|misrepresented|This software is provided ['"‘]?as-is['"’]?,? without any express or implied warranty.{0,700}?must not be misrepresented
 Zlib|80|spdx,zlib|SPDX-License-Identifier: ?\(?Zlib\b
 Zlib|50|zlib|\bzlib(?:/libpng)? Licen[sc]e\b
 Libpng|50|libpng|\blibpng Licen[sc]e\b
 libtiff|50|libtiff|\blibtiff Licen[sc]e\b
 IJG|50|jpeg|Independent JPEG Group(?:'s)?(?: software)? Licen[sc]e\b
-BSL-1.0|90|boost,permission|Boost Software License - Version 1\.0 - August 17th, 2003
+BSL-1.0|90|boost|Boost Software License - Version 1\.0 - August 17th, 2003
 BSL-1.0|80|spdx,bsl|SPDX-License-Identifier: ?\(?BSL-1\.0\b
 BSL-1.0|70|boost|(?:Distributed under the )?Boost Software Licen[sc]e,? (?:version |v\.? ?)?1\.0\b
 BSL-1.0|50|boost|Boost(?: Software)? Licen[sc]e\b
@@ -261,8 +261,8 @@ Artistic-2.0|70|artistic|Artistic Licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)?\b
 Artistic-1.0|80|spdx,artistic|SPDX-License-Identifier: ?\(?Artistic-1\.0(?:-Perl|-cl8)?\b
 Artistic-1.0|50|artistic|\bArtistic Licen[sc]e\b
 Artistic-1.0-Perl|70|perl|(?:under )?the same terms as Perl(?: ?5)?(?: itself)?\b
-PSF-2.0|80|spdx,psf|SPDX-License-Identifier: ?\(?(?:PSF|Python)-2\.0\b
-PSF-2.0|70|python|(?:PSF|Python Software Foundation) Licen[sc]e(?: Agreement)?(?:,? (?:version |v\.? ?)?2)?\b
+PSF-2.0|80|spdx,psf/python|SPDX-License-Identifier: ?\(?(?:PSF|Python)-2\.0\b
+PSF-2.0|70|psf/python|(?:PSF|Python Software Foundation) Licen[sc]e(?: Agreement)?(?:,? (?:version |v\.? ?)?2)?\b
 PHP-3.01|80|spdx,php|SPDX-License-Identifier: ?\(?PHP-3\.01\b
 PHP-3.01|70|php|\bPHP Licen[sc]e,? (?:version |v\.? ?)?3\.01\b
 PHP-3.0|70|php|\bPHP Licen[sc]e,? (?:version |v\.? ?)?3\.0\b
@@ -316,7 +316,7 @@ ECL-2.0|70|educational|Educational Community Licen[sc]e,?(?: (?:version |v\.? ?)
 RPL-1.5|50|reciprocal|\bReciprocal Public Licen[sc]e(?: 1\.5)?\b
 CPAL-1.0|50|common|Common Public Attribution Licen[sc]e(?:,? (?:version |v\.? ?)?1\.0)?\b
 Watcom-1.0|50|sybase|Sybase Open Watcom Public Licen[sc]e\b
-OpenRAIL-M|50|openrail|\b(?:BigScience |CreativeML )?Open ?RAIL(?:\+\+)?-?M?(?: Licen[sc]e)?\b
+OpenRAIL-M|50|rail|\b(?:BigScience |CreativeML )?Open ?RAIL(?:\+\+)?-?M?(?: Licen[sc]e)?\b
 Llama-2|50|llama|\bLlama 2 Community Licen[sc]e(?: Agreement)?\b
 Llama-3|50|llama|\bLlama 3(?:\.\d)? Community Licen[sc]e(?: Agreement)?\b
 Public-Domain|50|public|(?:released|placed|dedicated|is|are) (?:in|into|to) the public domain\b
@@ -324,6 +324,6 @@ Proprietary|50|rights|\bAll rights reserved\b
 Proprietary|50|proprietary|\b(?:proprietary and confidential|confidential and proprietary)\b
 Proprietary|50|unauthorized|Unauthorized (?:copying|reproduction|distribution) (?:of this (?:file|software|material),? )?(?:via any medium )?is strictly prohibited
 Copyright|30|copyright|\bCopyright (?:\(c\)|©|(?=\d{4}))(?: ?\d{4}(?: ?[-–,] ?\d{4})*)?
-Licence-reference|30|license|\bsee (?:the )?(?:accompanying )?(?:file )?LICEN[SC]E(?:\.txt|\.md)?(?: file)?\b
+Licence-reference|30|license/licence|\bsee (?:the )?(?:accompanying )?(?:file )?LICEN[SC]E(?:\.txt|\.md)?(?: file)?\b
 Licence-reference|30|spdx|SPDX-License-Identifier: ?\(?[\w.+-]+
 """

@@ -1,7 +1,7 @@
 """License scan: ordered signature rules, gated by a keyword automaton, overlaps resolved by priority and containment.
 
 An automaton finds all keywords of all rules in one pass over the lower-cased text; only the rules whose keywords are all
-there run their pattern, over the whole text. Detections are then taken by priority, then length, then place, then rule order; one that
+there (of keywords joined by a slash, one) run their pattern, over the whole text. Detections are then taken by priority, then length, then place, then rule order; one that
 lies within a detection taken before, or overlaps one of higher priority, is suppressed.
 """
 
@@ -55,17 +55,21 @@ class Scanner:
     def __init__(self, rules: list[Rule]) -> None:
         self.rules = rules
         self.automaton = ahocorasick.Automaton()
-        words = sorted({k for r in rules for k in r.keywords})
+        words = sorted({a for r in rules for k in r.keywords for a in k.split("/")})
         number = {w: i for i, w in enumerate(words)}
         for w, i in number.items():
             self.automaton.add_word(w, i)
         self.automaton.make_automaton()
-        self.needs = [(r, frozenset(number[k] for k in r.keywords)) for r in rules]
-        self.tried = lru_cache(maxsize=4096)(lambda seen: tuple(r for r, need in self.needs if need <= seen))
+        self.needs = [(r, [frozenset(number[a] for a in k.split("/")) for k in r.keywords]) for r in rules]
+        self.tried = lru_cache(maxsize=4096)(lambda seen: tuple(r for r, need in self.needs if all(k & seen for k in need)))
 
-    def scan(self, text: str) -> list[tuple[int, int, Rule]]:
+    def candidates(self, text: str) -> tuple[Rule, ...]:
+        """The rules that the keywords of ``text`` let run."""
         seen = frozenset(i for _, i in self.automaton.iter(text.lower()))
-        found = [(m.start(), m.end(), r) for r in (self.tried(seen) if seen else ()) for m in r.pattern.finditer(text) if m.end() > m.start()]
+        return self.tried(seen) if seen else ()
+
+    def scan(self, text: str) -> list[tuple[int, int, Rule]]:
+        found = [(m.start(), m.end(), r) for r in self.candidates(text) for m in r.pattern.finditer(text) if m.end() > m.start()]
         return resolve(found) if found else found
 
 
