@@ -90,11 +90,11 @@ def cells(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def gaps(queries: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """(query, dimension * CELLS): squared distance to each cell along its dimension."""
+    """(query, dimension * CELLS): squared distance to each cell along its dimension, at most 1e30: sums stay finite, and lower bounds."""
     low = np.concatenate([np.full((len(edges), 1), -np.inf), edges], axis=1)
     high = np.concatenate([edges, np.full((len(edges), 1), np.inf)], axis=1)
     q = queries[:, :, None].astype(np.float64)
-    return (np.maximum(0, np.maximum(low - q, q - high)) ** 2).reshape(len(queries), -1).astype(np.float32)
+    return np.minimum(np.maximum(0, np.maximum(low - q, q - high)) ** 2, 1e30).reshape(len(queries), -1).astype(np.float32)
 
 
 class Best:
