@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import materialize
+from papyra.llm.common import discard, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -24,9 +24,12 @@ def components(pairs: DataFrame) -> DataFrame:
     """(a, b): each node of ``pairs`` (two long columns) that is not the least of its component, with that least node."""
     x, y = pairs.columns
     edges = pairs.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("a != b").distinct()
-    before = None
+    before, last = None, None
     while True:
         edges = materialize(_small(_large(edges)), "stars")
+        if last is not None:
+            discard(last)
+        last = edges
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return edges

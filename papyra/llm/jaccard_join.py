@@ -5,9 +5,11 @@ packed hashes. An n-gram of frequency 1 matches nothing, so only the repeated on
 frequency, then hash, puts them in order, rarest first; those of frequency 1 come before and only move the positions.
 Texts of one set are joined as one. The prefix of a set of s n-grams is its first s - ceil(t s) + 1; two sets of
 similarity t share one of both prefixes. The join on those passes the length filter (t times the larger size at most the
-smaller one) and the positional filter (the n-grams after the shared one suffice for the needed overlap); each pair that is left is
-verified once, where the suffix filter (over eight ranges of hashes, the sum of the smaller counts bounds the overlap)
-comes before the exact overlap.
+smaller one), the positional filter (the n-grams after the shared one suffice for the needed overlap) and the suffix filter (what the two
+suffixes after the shared n-gram have in common is at most the sum, over eight ranges of hashes, of the smaller counts); each
+pair that is left is verified once by its exact overlap. Sets of one cluster are verified together, in cells of two blocks of members
+each, so that no task holds a whole cluster. N-grams are equal if their 54-bit hashes are;
+among 2**27 different ones about one pair is.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import content_key, fresh, id_order, materialize, trimmed, whole_groups
+from papyra.llm.common import content_key, discard, fresh, id_order, materialize, trimmed, whole_groups
 from papyra.llm.components import components
 
 _WORD = re.compile(r"\w+")
@@ -31,6 +34,8 @@ _DOC_BITS = 10
 _LOW = np.uint64((1 << _DOC_BITS) - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _CHARS = 4 << 20
+#: Members of a cluster in one block of the verification.
+_BLOCK = 256
 _PACKED = "bucket int, batch long, grams binary, df binary"
 
 
@@ -148,7 +153,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed([(0, int(of[a]), _planes(keys[a:b]), _planes(df[a:b])) for a, b in zip(cuts[i : i + 64], [*cuts[1:], len(of)][i : i + 64])])
 
 
-_SETS = "o long, k long, size int, common int, ranges array<int>, grams binary"
+_SETS = "o long, k long, size int, common int, grams binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
@@ -177,18 +182,28 @@ def _sets(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatc
             keys, df, who = keys[keep], df[keep], who[keep]
             order = np.lexsort((keys, df, who))
             keys, who = keys[order] >> np.uint64(_DOC_BITS), who[order]
-            ranges = np.bincount(who * 8 + (keys >> np.uint64(64 - _DOC_BITS - 3)).astype(np.int64), minlength=8 * len(docs)).reshape(-1, 8)
             ends = np.searchsorted(who, np.arange(len(docs) + 1)).tolist()
             for d in np.flatnonzero(fine).tolist():
                 s = docs[d]
-                out.append((int(s["o"]), int(s["k"]), int(s["size"]), int(common[d]), ranges[d].tolist(), keys[ends[d] : ends[d + 1]].astype("<u8").tobytes()))
-        columns = list(zip(*out)) if out else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["o", "k", "size", "common", "ranges", "grams"])
+                out.append((int(s["o"]), int(s["k"]), int(s["size"]), int(common[d]), keys[ends[d] : ends[d + 1]].astype("<u8").tobytes()))
+        columns = list(zip(*out)) if out else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["o", "k", "size", "common", "grams"])
+
+
+def _suffixes(grams: np.ndarray, whole: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For the first n[i] of each set's whole[i] n-grams: how many of those after it lie in each of eight ranges, a byte each, at most 255."""
+    begin = np.cumsum(whole) - whole
+    ones = np.zeros((len(grams) + 1, 8), dtype=np.int32)
+    ones[np.arange(1, len(grams) + 1), (grams >> (64 - _DOC_BITS - 3)).astype(np.int64)] = 1
+    np.cumsum(ones, axis=0, out=ones)
+    at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    left = np.minimum(ones[np.repeat(begin + whole, n)] - ones[at + 1], 255)
+    return np.ascontiguousarray(left.astype(np.uint8)).view("<i8").reshape(-1)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """(gram, id, size, pos) for the repeated n-grams of each prefix; pos counts from 0 in the whole set."""
+    """(gram, id, size, pos, suffix) for the repeated n-grams of each prefix; pos counts from 0 in the whole set."""
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
@@ -196,10 +211,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Record
             length = sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + 1
             once = sizes - common
             n = np.clip(length - once, 0, common).astype(np.int64)
-            grams = [np.frombuffer(g, dtype="<i8")[:m] for g, m in zip(batch.column(3).to_pylist(), n.tolist())]
+            every = [np.frombuffer(g, dtype="<i8") for g in batch.column(3).to_pylist()]
+            grams = [g[:m] for g, m in zip(every, n.tolist())]
             pos = np.repeat(once, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            columns = (np.concatenate(grams) if grams else np.zeros(0, "<i8"), np.repeat(ids, n), np.repeat(sizes, n).astype(np.int32), pos.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "id", "size", "pos"])
+            suffix = _suffixes(np.concatenate(every), common.astype(np.int64), n) if every else np.zeros(0, "<i8")
+            columns = (np.concatenate(grams) if grams else np.zeros(0, "<i8"), np.repeat(ids, n), np.repeat(sizes, n).astype(np.int32), pos.astype(np.int32), suffix)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "id", "size", "pos", "suffix"])
 
 
 def _overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -224,30 +241,24 @@ def _overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarra
 
 
 def _verified(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """(x, y, jaccard) of pairs at or above t; rows sorted by group, its sets (other null) and its pairs."""
+    """(x, y, jaccard) of pairs at or above t; rows sorted by cell, its sets (y null) and its pairs."""
     for table in whole_groups(batches, 0):
-        group = table.column(0).to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist()
+        cell = table.column(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])).tolist()
         found = []
-        for a, b in zip(starts, [*starts[1:], len(group)]):
+        for a, b in zip(starts, [*starts[1:], len(cell)]):
             part = table.slice(a, b - a)
-            other = part.column(2).to_numpy()
-            is_set = np.isnan(other) if other.dtype.kind == "f" else np.zeros(len(other), dtype=bool)
-            s = part.filter(pa.array(is_set))
-            p = part.filter(pa.array(~is_set))
+            is_set = pc.is_null(part.column(2))
+            s, p = part.filter(is_set), part.filter(pc.invert(is_set))
             ids = s.column(1).to_numpy()
             order = np.argsort(ids)
             ids = ids[order]
             sizes = s.column(3).to_numpy().astype(np.int64)[order]
-            ranges = np.array(s.column(4).to_pylist(), dtype=np.int64)[order]
-            blobs = s.column(5).to_pylist()
+            blobs = s.column(4).to_pylist()
             sets = [np.frombuffer(blobs[i], dtype="<u8") for i in order]
-            x, y = np.searchsorted(ids, p.column(1).to_numpy()), np.searchsorted(ids, p.column(2).to_numpy().astype(np.int64))
-            need = np.ceil(t / (1 + t) * (sizes[x] + sizes[y]) - 1e-9)
-            fits = np.minimum(ranges[x], ranges[y]).sum(axis=1) >= need
-            x, y, need = x[fits], y[fits], need[fits]
+            x, y = np.searchsorted(ids, p.column(1).to_numpy()), np.searchsorted(ids, p.column(2).to_numpy())
             over = _overlaps(sets, x, y)
-            good = over >= need
+            good = over >= np.ceil(t / (1 + t) * (sizes[x] + sizes[y]) - 1e-9)
             x, y, over = x[good], y[good], over[good]
             found.append((ids[x], ids[y], over / (sizes[x] + sizes[y] - over)))
         columns = [np.concatenate(c) for c in zip(*found)]
@@ -286,44 +297,94 @@ def similar_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> tuple[D
 
     ordered = packed.unionByName(leave.mapInArrow(names, _PACKED)).repartition("batch").sortWithinPartitions("batch", "bucket")
     sets = materialize(ordered.mapInArrow(lambda it: trimmed(_sets(it, t)), _SETS).withColumn("id", F.monotonically_increasing_id()), "sets")
-    prefixes = sets.select("id", "size", "common", "grams").mapInArrow(lambda it: _prefixes(it, t), "gram long, id long, size int, pos int")
+    discard(packed)
+    prefixes = sets.select("id", "size", "common", "grams").mapInArrow(lambda it: _prefixes(it, t), "gram long, id long, size int, pos int, suffix long")
     prefixes = materialize(prefixes, "prefixes")
-    a, b = (prefixes.select("gram", *[F.col(c).alias(c + s) for c in ("id", "size", "pos")]) for s in ("1", "2"))
+    a, b = (prefixes.select("gram", *[F.col(c).alias(c + s) for c in ("id", "size", "pos", "suffix")]) for s in ("1", "2"))
     need = F.ceil(t / (1 + t) * (F.col("size1") + F.col("size2")) - 1e-9)
     left = F.least(F.col("size1") - F.col("pos1"), F.col("size2") - F.col("pos2"))
+    byte = lambda c, i: F.shiftrightunsigned(F.col(c), 8 * i).bitwiseAND(F.lit(255))
+    after = F.lit(1)
+    for i in range(8):  # a byte of 255 says 255 or more
+        u, v = byte("suffix1", i), byte("suffix2", i)
+        after = after + F.least(u, v) + F.when(F.least(u, v) == 255, F.least("size1", "size2")).otherwise(0)
     longer, shorter = F.greatest("size1", "size2"), F.least("size1", "size2")
-    pairs = a.join(b, "gram").where((F.col("id1") < F.col("id2")) & (shorter >= longer * t - 1e-9) & (left >= need))
+    pairs = a.join(b, "gram").where((F.col("id1") < F.col("id2")) & (shorter >= longer * t - 1e-9) & (left >= need) & (after >= need))
     pairs = materialize(pairs.select(F.col("id1").alias("x"), F.col("id2").alias("y")).distinct(), "candidates")
+    discard(prefixes)
 
-    # A pair is verified with the least partner of its smaller set, so that sets of one cluster meet in one place.
+    # A pair is verified with the least partner of its smaller set, so that sets of one cluster meet; blocks of its members keep cells small.
     lead = pairs.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("g"))
     placed = materialize(pairs.join(lead, "x", "left").select(F.coalesce("g", "x").alias("g"), "x", "y"), "placed")
-    needs = placed.select("g", F.col("x").alias("id")).union(placed.select("g", F.col("y").alias("id"))).distinct()
-    rows = needs.join(sets, "id").select("g", F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "size", "ranges", "grams")
-    rows = rows.unionByName(placed.select("g", "x", "y"), allowMissingColumns=True).repartition("g").sortWithinPartitions("g")
-    good = rows.mapInArrow(lambda it: trimmed(_verified(it, t)), "x long, y long, jaccard double")
-    return materialize(good, "pairs"), sets.select("id", "o", "k"), later.select("o", "k", "first_o", "first_k")
+    discard(pairs)
+    members = placed.select("g", F.col("x").alias("id")).union(placed.select("g", F.col("y").alias("id"))).distinct()
+    blocks = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    cells = placed.join(blocks, "g").select(F.xxhash64("g", block("x"), block("y")).alias("cell"), "x", "y")
+    needs = cells.select("cell", F.col("x").alias("id")).union(cells.select("cell", F.col("y").alias("id"))).distinct()
+    rows = needs.join(sets, "id").select("cell", F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "size", "grams")
+    rows = rows.unionByName(cells, allowMissingColumns=True).repartition("cell").sortWithinPartitions("cell")
+    good = materialize(rows.mapInArrow(lambda it: trimmed(_verified(it, t)), "x long, y long, jaccard double"), "pairs")
+    named = materialize(sets.select("id", "o", "k"), "named")
+    discard(placed, sets)
+    return good, named, later.select("o", "k", "first_o", "first_k")
+
+
+def _classes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(o, k, first): each set that has a pair, and the first document of all sets that it is connected with."""
+    joined = components(pairs.select("x", "y"))
+    named = joined.union(joined.select("b", "b").distinct()).join(sets.toDF("a", "o", "k"), "a")
+    return named.join(named.groupBy("b").agg(F.min(F.struct("o", "k")).alias("first")), "b").select("o", "k", "first")
+
+
+def _id(column: str):
+    return F.when(F.col(column) != 2**63 - 1, F.col(column))
+
+
+def _copies(same: DataFrame) -> DataFrame:
+    """Further documents of one set; rows that repeat the first document's doc_id and text are that document."""
+    return same.where((F.col("o") != F.col("first_o")) | (F.col("k") != F.col("first_k"))).distinct()
 
 
 def jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of documents whose sets of word n-grams have Jaccard similarity >= ``threshold``.
+    """(doc_a, doc_b, jaccard): all pairs of different sets of word n-grams with Jaccard similarity >= ``threshold``, each set by its
+    first document, and (first document, further document, 1.0) for the documents of one set, which are not expanded into all pairs.
 
     Words are runs of letters, digits and underscores of the lower-cased text. A text of fewer than n words is one n-gram; one of
     none (null, empty, punctuation) is in no pair. Rows that repeat doc_id and text are one document. Rows of one doc_id
     and different texts pair like others, with doc_a = doc_b. A null doc_id comes last, and out as null. Other columns
-    are not read. An empty table gives an empty table. doc_a comes before doc_b.
+    are not read. Texts are read whole, whatever their length. An empty table gives an empty table. doc_a comes before doc_b.
     """
     pairs, sets, same = similar_sets(docs, n, threshold)
-    first = same.select(F.col("first_o").alias("fo"), F.col("first_k").alias("fk"), "o", "k").distinct()
-    member = first.unionByName(first.select("fo", "fk", F.col("fo").alias("o"), F.col("fk").alias("k"))).distinct()
-    one = member.toDF("fo", "fk", "oa", "ka").join(member.toDF("fo", "fk", "ob", "kb"), ["fo", "fk"])
-    within = one.where(F.struct("oa", "ka") < F.struct("ob", "kb")).select("oa", "ob", F.lit(1.0).alias("jaccard"))
-    all_of = sets.join(member.select(F.col("fo").alias("o"), F.col("fk").alias("k"), F.col("o").alias("mo")), ["o", "k"], "left")
-    all_of = all_of.select("id", F.coalesce("mo", "o").alias("d"))
-    across = pairs.join(all_of.toDF("x", "oa"), "x").join(all_of.toDF("y", "ob"), "y").select("oa", "ob", "jaccard")
-    null = F.lit(2**63 - 1)
+    within = _copies(same).select(F.col("first_o").alias("oa"), F.col("o").alias("ob"), F.lit(1.0).alias("jaccard"))
+    names = sets.select("id", "o")
+    across = pairs.join(names.toDF("x", "oa"), "x").join(names.toDF("y", "ob"), "y").select("oa", "ob", "jaccard")
     found = within.union(across).select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"), "jaccard")
-    return found.select(F.when(F.col("a") != null, F.col("a")).alias("doc_a"), F.when(F.col("b") != null, F.col("b")).alias("doc_b"), "jaccard")
+    return found.select(_id("a").alias("doc_a"), _id("b").alias("doc_b"), "jaccard")
+
+
+def jaccard_classes(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
+    """(doc_id, class_id, n_links): one row for each row of ``docs``.
+
+    ``n_links``: the other documents whose similarity with this one is at least ``threshold``, copies counted each. ``class_id``: the
+    first doc_id of all documents that links connect with this one; its own if it has none. Cases as in ``jaccard_pairs``: a text
+    without words has no link; rows that repeat doc_id and text are one document and get the same values; a null doc_id comes last, and
+    out as null, as class_id too. An empty table gives an empty table.
+    """
+    pairs, sets, same = similar_sets(docs, n, threshold)
+    copies = _copies(same)
+    more = copies.groupBy(F.col("first_o").alias("o"), F.col("first_k").alias("k")).agg(F.count(F.lit(1)).alias("more"))
+    weight = sets.join(more, ["o", "k"], "left").select("id", F.coalesce("more", F.lit(0)).alias("more"))
+    both = pairs.select("x", "y").union(pairs.select("y", "x"))
+    links = both.join(weight.toDF("y", "more"), "y").groupBy(F.col("x").alias("id")).agg(F.sum(F.col("more") + 1).alias("links")).join(sets, "id")
+    linked = links.join(_classes(pairs, sets), ["o", "k"]).select("o", "k", "links", F.col("first.o").alias("c"))
+    linked = linked.join(more, ["o", "k"], "full").select("o", "k", F.coalesce("c", "o").alias("c"), (F.coalesce("links", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+    linked = materialize(linked, "linked")
+    first = linked.select(F.col("o").alias("first_o"), F.col("k").alias("first_k"), "c", "n")
+    every = linked.union(copies.join(first, ["first_o", "first_k"]).select("o", "k", "c", "n"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), id_order(docs["doc_id"]).alias("o"), content_key(docs["doc_id"], docs["text"].cast("string")).alias("k"))
+    found = rows.join(every, ["o", "k"], "left").select("doc_id", F.coalesce("c", "o").alias("c"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    return found.select("doc_id", _id("c").alias("class_id"), "n_links")
 
 
 def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
@@ -332,15 +393,8 @@ def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFra
     Cases as there; rows that repeat a document that stays, stay with it. Columns unchanged.
     """
     pairs, sets, same = similar_sets(docs, n, threshold)
-    who = sets.select("id", F.struct("o", "k").alias("d"))
-    # Nodes are numbered in document order, so that the least of a component is its first document.
-    named = pairs.join(who.toDF("x", "dx"), "x").join(who.toDF("y", "dy"), "y").select("dx", "dy")
-    nodes = named.select(F.col("dx").alias("d")).union(named.select(F.col("dy").alias("d"))).distinct()
-    nodes = materialize(nodes.repartitionByRange("d").sortWithinPartitions("d").withColumn("v", F.monotonically_increasing_id()), "nodes")
-    edges = named.join(nodes.toDF("dx", "vx"), "dx").join(nodes.toDF("dy", "vy"), "dy").select("vx", "vy")
-    gone = components(edges).select(F.col("a").alias("v")).join(nodes, "v").select("d.o", "d.k")
-    # Rows that repeat the first document's doc_id and text are that document.
-    gone = gone.union(same.where((F.col("o") != F.col("first_o")) | (F.col("k") != F.col("first_k"))).select("o", "k").distinct())
+    gone = _classes(pairs, sets).where(F.struct("o", "k") != F.col("first")).select("o", "k")
+    gone = gone.union(_copies(same).select("o", "k"))
     o, k = fresh(docs, "__order"), fresh(docs, "__key")
     gone = materialize(gone, "gone").toDF(o, k)
     text = docs["text"].cast("string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from papyra.llm.common import table_path
 from papyra.llm.decontaminate import find_leaks
 from papyra.llm.hmm import score
-from papyra.llm.jaccard_join import jaccard_pairs
+from papyra.llm.jaccard_join import jaccard_classes
 from papyra.llm.language_id import identify_languages
 from papyra.llm.license_scan import scan_licenses
 from papyra.llm.line_dedup import dedup_lines
@@ -36,7 +36,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _JACCARD_SQL = r"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE text IS NOT NULL
 ), g AS (
   SELECT DISTINCT doc_id, text, CASE WHEN len(ws) < 3 THEN list_aggregate(ws, 'string_agg', ' ')
@@ -46,10 +46,16 @@ WITH w AS (
 p AS (
   SELECT a.doc_id AS da, a.text AS ta, b.doc_id AS db, b.text AS tb, count(*) AS o
   FROM g a JOIN g b ON a.gram = b.gram AND (a.doc_id, a.text) < (b.doc_id, b.text) GROUP BY ALL
-)
-SELECT da AS doc_a, db AS doc_b, round(o / (x.n + y.n - o), 6) AS jaccard
-FROM p JOIN s x ON x.doc_id = da AND x.text = ta JOIN s y ON y.doc_id = db AND y.text = tb
-WHERE o >= ceil(0.6 / 1.6 * (x.n + y.n) - 1e-9)
+), h AS (
+  SELECT {'d': da, 't': ta} AS a, {'d': db, 't': tb} AS b
+  FROM p JOIN s x ON x.doc_id = da AND x.text = ta JOIN s y ON y.doc_id = db AND y.text = tb
+  WHERE o >= ceil(0.6 / 1.6 * (x.n + y.n) - 1e-9)
+), e AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b.d) AS l FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT doc_id, coalesce(l, doc_id) AS class_id, coalesce(links, 0) AS n_links
+FROM documents LEFT JOIN n ON n.a = {'d': doc_id, 't': text} LEFT JOIN c ON c.a = {'d': doc_id, 't': text}
 """
 
 
@@ -59,8 +65,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_pairs(_table(spark, sf_dir, "documents"))
-    return found.select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:

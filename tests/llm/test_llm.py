@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyra.llm import decontaminate as dc
-from papyra.llm import hmm, language_id, license_scan, line_dedup, secret_scan, token_counts, va_search
+from papyra.llm import hmm, jaccard_join, language_id, license_scan, line_dedup, secret_scan, token_counts, va_search
 from papyra.llm.components import components
-from papyra.llm.jaccard_join import drop_similar, jaccard_pairs
+from papyra.llm.jaccard_join import drop_similar, jaccard_classes, jaccard_pairs
 from papyra.llm.pieces import decode_pieces, encode_pieces, pieces
 
 TOK = "/opt/tokenizers"
@@ -135,15 +135,49 @@ def near_texts(seed=4):
     return out
 
 
+def brute_links(texts, threshold):
+    return {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.combinations(enumerate(map(grams, texts)), 2) if a and b and len(a & b) / len(a | b) >= threshold}
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.6, 1.0])
 def test_jaccard(spark, threshold):
-    texts = near_texts()
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_pairs(docs(spark, texts), threshold=threshold).collect()}
-    want = {}
-    for (i, a), (j, b) in itertools.combinations(enumerate(map(grams, texts)), 2):
-        if len(a & b) / len(a | b) >= threshold:
-            want[i, j] = len(a & b) / len(a | b)
-    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+    texts = near_texts() + [None, "", "..", "long one " * 3000 + "a", "long one " * 3000 + "b"]
+    texts[17:19] = texts[3], texts[3]
+    want = brute_links([t or "" for t in texts], threshold)
+    sets = [grams(t or "") for t in texts]
+    found = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_pairs(docs(spark, texts), threshold=threshold).collect()}
+    assert all(found[p] == pytest.approx(want[p]) for p in found)
+    same = {i: [j for j in range(len(texts)) if sets[j] == sets[i]] for i in range(len(texts))}
+    every = {tuple(sorted((x, y))) for a, b in found for x in same[a] for y in same[b] if x != y}
+    assert every == want.keys() and not any(a != same[a][0] for a, _ in found)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(docs(spark, texts), threshold=threshold).collect()}
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, j in want:
+            label[i] = label[j] = min(label[i], label[j])
+    assert got == {i: (label[i], sum(i in p for p in want)) for i in range(len(texts))}
+
+
+def test_jaccard_cells(spark, monkeypatch):
+    """A cluster of many blocks of members, and suffixes of more than 255 n-grams in a range."""
+    monkeypatch.setattr(jaccard_join, "_BLOCK", 3)
+    rng = random.Random(20)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(w if rng.random() > 0.02 else f"x{rng.randrange(99)}" for w in base) for _ in range(60)]
+    texts = list(dict.fromkeys(texts))
+    n = len(texts)
+    long = [f"v{i}" for i in range(4000)]
+    texts += [" ".join(long), " ".join([*long[:-3], "other"]), " ".join(long[:2600])]
+    want = brute_links(texts, 0.6)
+    assert {(r.doc_a, r.doc_b) for r in jaccard_pairs(docs(spark, texts)).collect()} == want.keys()
+    assert (n, n + 1) in want and (n, n + 2) in want and len(want) > 300
+
+
+def test_jaccard_cases(spark):
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in jaccard_classes(odd(spark)).collect())
+    assert got == [("1", "1", 0), ("1", "1", 1), ("1", "1", 1), ("2", "2", 0), ("None", "1", 1), ("None", "None", 0)]
+    assert [(r.doc_a, r.doc_b) for r in jaccard_pairs(odd(spark)).collect()] == [(1, None)]
+    assert jaccard_classes(odd(spark).limit(0)).count() == 0
 
 
 def test_drop_similar(spark):
