@@ -1,10 +1,13 @@
 """Exact top-k search with vector-approximation files.
 
-Each vector has a file of cells: one of 16 cells a dimension, cut at normal quantiles of that dimension's mean and deviation.
-The distance from a query to a cell bounds its distance to every vector in the cell from below. Vectors lie in blocks of rows
-with their cells. For a block of queries and a block of vectors all bounds come from one product of the queries' table of
-squared gaps and the cells as indicators; then exact vectors are read in order of their bounds until the bound exceeds the
-query's kth distance. Blocks of vectors are in groups; a query's best of all groups are merged at the end.
+The file of approximations has, for each vector, one of 16 cells a dimension (4 bits), cut at normal quantiles of that dimension's mean and deviation,
+and the distance from the vector to the middle of its cells. Exact vectors lie in another table. A search has two phases:
+
+* Queries, in blocks, meet the whole file, in parts; no exact vector but the query's is read. The distance to the middle of the cells, less and
+  plus the stored one, bounds the distance from below and above; what is left by the kth smallest upper bound gets the distance to the
+  cells' box as a second lower bound.
+* The candidates that are left by the kth smallest upper bound of all parts are ordered by lower bound. Exact vectors are read in this order: the first
+  ``STEP`` of each query, then those whose bound does not exceed the kth distance so far; after these the result is certain.
 """
 
 from __future__ import annotations
@@ -15,191 +18,261 @@ from statistics import NormalDist
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from papyra.llm.common import materialize
+from papyra.llm.common import discard, materialize
 
 CELLS = 16
-ROWS = 1024
-#: Blocks of vectors that one task scans for one block of queries.
+#: Vectors in one row of the file, and queries that meet the file together.
+ROWS, QUERIES = 1024, 2048
+#: Rows of the file in a part.
 GROUP = 128
-#: Exact vectors read for a query at a time, in order of bounds.
-STEP = 32
+#: Exact vectors read for a query at first, in order of bounds.
+STEP = 64
 _CUTS = np.array([NormalDist().inv_cdf(i / CELLS) for i in range(1, CELLS)])
-#: Bounds are computed in single precision; by so much they are taken lower.
-_SLACK = 1e-4
-_BLOCK = "block long, dim int, n int, ids binary, vectors binary"
+_MIDDLE = np.array([NormalDist().inv_cdf((i + 0.5) / CELLS) for i in range(CELLS)])
+#: Rounding of sums and products in double precision, relative to what is added.
+_SLACK = 1e-12
 _FAR = np.iinfo(np.int64).max
 
 
 def _usable(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimension, ids, vectors) for the rows whose vector is not null or empty and has finite elements only."""
-    ids, column = batch.column(0), batch.column(1)
-    lengths = np.array([x if x is not None else 0 for x in pc.list_value_length(column).to_pylist()])
+    """(dimension, rows, vectors) for the rows whose vector is not null or empty and has finite elements only."""
+    column = batch.column(2)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
     starts = np.cumsum(lengths) - lengths
-    keys = np.array([_FAR if x is None else x for x in ids.to_pylist()], dtype=np.int64)
     for dim in np.unique(lengths[lengths > 0]).tolist():
         at = np.flatnonzero(lengths == dim)
         x = values[starts[at][:, None] + np.arange(dim)]
         fine = np.isfinite(x).all(axis=1)
-        yield dim, keys[at[fine]], x[fine]
+        yield dim, at[fine], x[fine]
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for dim, at, x in _usable(batch):
+            own = batch.take(pa.array(at))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(x), dim, dtype=np.int32)), lists], names=["vec_id", "asks", "dim", "v"])
+
+
+def _by_dim(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, row ids, vectors), up to ``rows`` at a time, from (rid, dim, v)."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        dims, rids = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+        for dim in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == dim)
+            x = batch.column(2).take(pa.array(at)).flatten().to_numpy().reshape(-1, dim)
+            held.setdefault(dim, []).append((rids[at], x))
+            if sum(len(r) for r, _ in held[dim]) >= rows:
+                r, x = (np.concatenate(c) for c in zip(*held.pop(dim)))
+                whole = len(r) // rows * rows
+                for a in range(0, whole, rows):
+                    yield dim, r[a : a + rows], x[a : a + rows]
+                if whole < len(r):
+                    held[dim] = [(r[whole:], x[whole:])]
+    for dim, parts in held.items():
+        yield dim, *(np.concatenate(c) for c in zip(*parts))
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for dim, _, x in _usable(batch):
-            x = x.astype(np.float64)
-            found[dim] = found.get(dim, 0) + np.stack([np.full(dim, float(len(x))), x.sum(axis=0), (x * x).sum(axis=0)])
+    for dim, _, x in _by_dim(batches, ROWS):
+        x = x.astype(np.float64)
+        found[dim] = found.get(dim, 0) + np.stack([np.full(dim, float(len(x))), x.sum(axis=0), (x * x).sum(axis=0)])
     rows = [(d, i, *m[:, i].tolist()) for d, m in found.items() for i in range(d)]
     columns = list(zip(*rows)) if rows else [[]] * 5
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()))], names=["dim", "i", "n", "s", "q"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+class Grid:
+    """Cells of one dimension: ``edges`` (dimensions, CELLS - 1), ``middle`` (dimensions, CELLS)."""
 
-    def cut(dim: int, least: int) -> Iterator[pa.RecordBatch]:
-        nonlocal number
-        ids, x = (np.concatenate(c) for c in zip(*held.pop(dim)))
-        while len(ids) >= least:
-            a, b = ids[:ROWS], x[:ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([dim], pa.int32()), pa.array([len(a)], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["block", "dim", "n", "ids", "vectors"])
-            number += 1
-            ids, x = ids[ROWS:], x[ROWS:]
-        if len(ids):
-            held[dim] = [(ids, x)]
+    def __init__(self, mean: np.ndarray, deviation: np.ndarray) -> None:
+        self.edges = mean[:, None] + deviation[:, None] * _CUTS
+        self.middle = mean[:, None] + deviation[:, None] * _MIDDLE
 
-    for batch in batches:
-        for dim, ids, x in _usable(batch):
-            held.setdefault(dim, []).append((ids, x))
-            if sum(len(i) for i, _ in held[dim]) >= ROWS:
-                yield from cut(dim, ROWS)
-    for dim in list(held):
-        yield from cut(dim, 1)
-
-
-def cells(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Cell of each element; edges: (dimensions, CELLS - 1), ascending."""
-    return np.stack([np.searchsorted(e, x[:, i], side="right") for i, e in enumerate(edges)], axis=1).astype(np.uint8)
-
-
-def gaps(queries: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """(query, dimension * CELLS): squared distance to each cell along its dimension, at most 1e30: sums stay finite, and lower bounds."""
-    low = np.concatenate([np.full((len(edges), 1), -np.inf), edges], axis=1)
-    high = np.concatenate([edges, np.full((len(edges), 1), np.inf)], axis=1)
-    q = queries[:, :, None].astype(np.float64)
-    return np.minimum(np.maximum(0, np.maximum(low - q, q - high)) ** 2, 1e30).reshape(len(queries), -1).astype(np.float32)
-
-
-class Best:
-    """The k nearest so far of each query: (rounded distance, id, row) in order."""
-
-    def __init__(self, n: int, k: int) -> None:
-        self.k = k
-        self.d = np.full((n, k), np.inf)
-        self.i = np.full((n, k), _FAR)
-
-    def add(self, q: np.ndarray, d: np.ndarray, i: np.ndarray) -> None:
-        """Pairs, sorted by query."""
-        own, first, count = np.unique(q, return_index=True, return_counts=True)
-        slot = np.arange(len(q)) - np.repeat(first, count)
-        row = np.repeat(np.arange(len(own)), count)
-        dd, ii = np.full((len(own), self.k + int(count.max())), np.inf), np.full((len(own), self.k + int(count.max())), _FAR)
-        dd[:, : self.k], ii[:, : self.k] = self.d[own], self.i[own]
-        dd[row, self.k + slot], ii[row, self.k + slot] = d, i
-        order = np.lexsort((ii, dd), axis=1)[:, : self.k]
-        self.d[own], self.i[own] = np.take_along_axis(dd, order, 1), np.take_along_axis(ii, order, 1)
-
-
-def scan(best: Best, queries: np.ndarray, table: np.ndarray, ids: np.ndarray, vectors: np.ndarray, edges: np.ndarray, same: bool) -> int:
-    """Improve ``best`` with a block of vectors; the number of exact vectors read."""
-    code = cells(vectors, edges)
-    hot = np.zeros((len(code), edges.shape[0] * CELLS), dtype=np.float32)
-    hot[np.arange(len(code))[:, None], code + np.arange(edges.shape[0]) * CELLS] = 1
-    bound = np.sqrt(np.maximum(table @ hot.T, 0)) * (1 - _SLACK) - 1e-9
-    if same:
-        np.fill_diagonal(bound, np.inf)
-    reads = 0
-    limit = best.d[:, -1:]
-    q, v = np.nonzero((bound <= limit) & np.isfinite(bound))
-    order = np.lexsort((bound[q, v], q))
-    q, v = q[order], v[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    step = 0
-    while len(q):
-        now = place < step + STEP
-        qs, vs = q[now], v[now]
-        diff = queries[qs].astype(np.float64) - vectors[vs].astype(np.float64)
-        best.add(qs, np.round(np.sqrt(np.einsum("ij,ij->i", diff, diff)), 9), ids[vs])
-        reads += len(qs)
-        rest = ~now
-        q, v, place = q[rest], v[rest], place[rest]
-        live = bound[q, v] <= best.d[q, -1]
-        q, v, place = q[live], v[live], place[live]
-        step += STEP
-    return reads
-
-
-def _search(batches: Iterator[pa.RecordBatch], k: int, edges: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (q, part, role, block, dim, n, ids, vectors) sorted so; role 0 is the block of queries, 1 one of vectors."""
-    now, state = None, None
-
-    def out() -> pa.RecordBatch:
-        ids, best = state[1], state[4]
-        found = np.isfinite(best.d)
-        row, _ = np.nonzero(found)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), state[0])), pa.array(row.astype(np.int32)), pa.array(ids[row]), pa.array(best.i[found]), pa.array(best.d[found])], names=["block", "row", "vec_id", "neighbor_id", "distance"])
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Cell of each element."""
+        return np.stack([np.searchsorted(e, x[:, i], side="right") for i, e in enumerate(self.edges)], axis=1).astype(np.uint8)
+
+    def middles(self, cells: np.ndarray) -> np.ndarray:
+        return self.middle[np.arange(cells.shape[1]), cells]
+
+    def gaps(self, queries: np.ndarray) -> np.ndarray:
+        """(query, dimension, CELLS): squared distance to each cell along its dimension."""
+        q = queries[:, :, None].astype(np.float64)
+        apart = np.zeros((*queries.shape, CELLS))
+        np.maximum(apart[:, :, 1:], self.edges - q, out=apart[:, :, 1:])
+        np.maximum(apart[:, :, :-1], q - self.edges, out=apart[:, :, :-1])
+        return apart**2
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    if cells.shape[1] % 2:
+        cells = np.concatenate([cells, np.zeros((len(cells), 1), dtype=np.uint8)], axis=1)
+    return (cells[:, ::2] | cells[:, 1::2] << 4).tobytes()
+
+
+def _unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
+    b = np.frombuffer(data, dtype=np.uint8).reshape(n, -1)
+    return np.stack([b & 15, b >> 4], axis=2).reshape(n, -1)[:, :dim]
+
+
+def _filed(batches: Iterator[pa.RecordBatch], grids: dict[int, Grid]) -> Iterator[pa.RecordBatch]:
+    for dim, rids, x in _by_dim(batches, ROWS):
+        code = grids[dim].cells(x)
+        with np.errstate(over="ignore"):
+            off = np.nextafter((np.linalg.norm(x - grids[dim].middles(code), axis=1) * (1 + 1e-6)).astype(np.float32), np.float32(np.inf))
+        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(rids)], pa.int32()), pa.array([rids.tobytes()]), pa.array([off.tobytes()]), pa.array([_packed(code)])], names=["dim", "n", "rids", "off", "cells"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for dim, rids, x in _by_dim(batches, QUERIES):
+        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(rids)], pa.int32()), pa.array([rids.tobytes()]), pa.array([x.tobytes()])], names=["dim", "n", "rids", "vectors"])
+
+
+class Scan:
+    """A block of queries against approximations: the k smallest upper bounds of each, and the pairs that they leave."""
+
+    def __init__(self, rids: np.ndarray, queries: np.ndarray, grid: Grid, k: int) -> None:
+        self.rids, self.queries, self.grid, self.k = rids, queries.astype(np.float64), grid, k
+        self.square = (self.queries**2).sum(axis=1)
+        self.top = np.full((len(rids), k), np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, rids: np.ndarray, off: np.ndarray, cells: np.ndarray) -> None:
+        middle, off = self.grid.middles(cells), off.astype(np.float64)
+        both = self.square[:, None] + (middle**2).sum(axis=1)
+        square = np.maximum(both - 2 * (self.queries @ middle.T), 0)
+        slack = both * (_SLACK * cells.shape[1])
+        high = np.sqrt(square + slack) * (1 + _SLACK) + off
+        low = np.sqrt(np.maximum(square - slack, 0)) * (1 - _SLACK) - off
+        order = np.argsort(self.rids)
+        at = np.minimum(np.searchsorted(self.rids, rids, sorter=order), len(order) - 1)
+        own = np.flatnonzero(self.rids[order[at]] == rids)
+        high[order[at[own]], own] = np.inf
+        low[order[at[own]], own] = np.inf
+        self.top = np.partition(np.concatenate([self.top, high], axis=1), self.k - 1, axis=1)[:, : self.k]
+        q, v = np.nonzero((low <= self.top.max(axis=1)[:, None]) & (low < np.inf))
+        self.found.append((q, rids[v], self._boxed(q, cells[v], low[q, v])))
+
+    def _boxed(self, q: np.ndarray, cells: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The larger of two lower bounds of each pair."""
+        out = np.maximum(low, 0)
+        for own in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q // 64)) + 1):
+            if len(own):
+                first = q[own[0]] // 64 * 64
+                table = self.grid.gaps(self.queries[first : first + 64])
+                square = np.zeros(len(own))
+                for d in range(cells.shape[1]):
+                    square += table[q[own] - first, d, cells[own, d]]
+                out[own] = np.maximum(out[own], np.sqrt(square) * (1 - _SLACK * cells.shape[1]))
+        return out
+
+    def left(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, row id, lower bound) of all pairs that the smallest upper bounds leave."""
+        q, r, low = (np.concatenate(c) for c in zip(*self.found))
+        fine = low <= self.top.max(axis=1)[q]
+        return q[fine], r[fine], low[fine]
+
+
+_FOUND = "qid long, rid long, low double, top array<double>"
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int, grids: dict[int, Grid]) -> Iterator[pa.RecordBatch]:
+    """Rows (dim, q, part, role, n, rids, off, data) sorted so; role 0 is the block of queries, 1 a row of the file."""
+    now, scan = None, None
+
+    def out(scan: Scan) -> pa.RecordBatch:
+        q, rid, low = scan.left()
+        n = len(scan.rids)
+        tops = pa.ListArray.from_arrays(pa.array(np.concatenate([np.arange(n + 1) * k, np.full(len(q), n * k)]).astype(np.int32)), pa.array(scan.top.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([scan.rids, scan.rids[q]])), pa.array(np.concatenate([np.full(n, -1), rid])), pa.array(np.concatenate([np.zeros(n), low])), tops], names=["qid", "rid", "low", "top"])
 
     for whole in batches:
         for r in range(whole.num_rows):
-            q, part, role, block, dim, n, ids, x = (whole.column(c)[r].as_py() for c in range(8))
-            ids, x = np.frombuffer(ids, dtype=np.int64), np.frombuffer(x, dtype=np.float32).reshape(n, dim)
-            if (q, part) != now:
-                if state:
-                    yield out()
-                now, state = (q, part), (q, ids, x, gaps(x, edges[dim]), Best(n, k))
+            dim, q, part, role, n, rids, off, data = (whole.column(c)[r].as_py() for c in range(8))
+            rids = np.frombuffer(rids, dtype=np.int64)
+            if (dim, q, part) != now:
+                if scan and scan.found:
+                    yield out(scan)
+                now, scan = (dim, q, part), Scan(rids, np.frombuffer(data, dtype=np.float32).reshape(n, dim), grids[dim], k)
             if role:
-                scan(state[4], state[2], state[3], ids, x, edges[dim], block == q)
-    if state:
-        yield out()
+                scan.add(rids, np.frombuffer(off, dtype=np.float32), _unpacked(data, n, dim))
+    if scan and scan.found:
+        yield out(scan)
 
 
-def top_k(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): for each row of ``vectors`` (vec_id, embedding) its k nearest other rows.
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(qid, vec_id, neighbor_id, distance) from (qid, vec_id, q, neighbor_id, v)."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(2)).to_numpy()
+        a, b = (batch.column(c).flatten().to_numpy().astype(np.float64) for c in (2, 4))
+        d = np.sqrt(np.add.reduceat((a - b) ** 2, np.cumsum(sizes) - sizes)) if len(sizes) else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.round(d, 9))], names=["qid", "vec_id", "neighbor_id", "distance"])
+
+
+def top_k(vectors: DataFrame, k: int = 10, asks: Column | None = None) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): for each row of ``vectors`` (vec_id, embedding) that satisfies ``asks`` (all if None) its k nearest
+    other rows, of all rows.
 
     Euclidean distance, rounded to 9 places, from exact vectors; rank from 1, equal distances by vec_id. A row's own self is left out; rows
     that repeat it are neighbours at distance 0. Only vectors of one length are compared. Null and empty vectors, and those with a null, NaN or
-    infinite element, are left out. Null ids come last among equals, and out as null. Fewer than k others: all of them.
-    Other columns are not read. An empty table gives an empty table.
+    infinite element, are left out; finite elements of any size are compared. Null ids come last among equals, and out as null; a null ``asks`` is false.
+    Fewer than k others: all of them. Other columns are not read. An empty table gives an empty table.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    some = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<float>").alias("embedding"))
-    total = some.mapInArrow(_moments, "dim int, i int, n double, s double, q double").groupBy("dim", "i").agg(*[F.sum(c).alias(c) for c in "nsq"])
-    edges: dict[int, np.ndarray] = {}
+    spark = vectors.sparkSession
+    vec_id = vectors["vec_id"].cast("long")
+    ask = F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))
+    some = vectors.select(F.coalesce(vec_id, F.lit(int(_FAR))).alias("vec_id"), ask.alias("asks"), vectors["embedding"].cast("array<float>").alias("embedding"))
+    exact = some.mapInArrow(_exact, "vec_id long, asks boolean, dim int, v array<float>").withColumn("rid", F.monotonically_increasing_id())
+    exact = materialize(exact, "exact")
+    total = exact.select("rid", "dim", "v").mapInArrow(_moments, "dim int, i int, n double, s double, q double").groupBy("dim", "i").agg(*[F.sum(c).alias(c) for c in "nsq"])
+    rows: dict[int, list[tuple[float, float]]] = {}
     for r in total.orderBy("dim", "i").toLocalIterator():  # a row a dimension
         mean = r.s / r.n
-        edge = mean + max(r.q / r.n - mean * mean, 0) ** 0.5 * _CUTS
-        edges.setdefault(r.dim, np.zeros((r.dim, CELLS - 1)))[r.i] = edge
-    blocks = materialize(some.mapInArrow(_blocks, _BLOCK), "blocks")
-    order = W.partitionBy("dim").orderBy("block")
-    places = materialize(blocks.select("dim", "block").withColumn("part", F.floor((F.row_number().over(order) - 1) / GROUP).cast("int")), "places")
-    parts = places.select("dim", "part").distinct()
-    queries = blocks.join(parts, "dim").select(F.col("block").alias("q"), "part", F.lit(0).alias("role"), "block", "dim", "n", "ids", "vectors")
-    pairs = places.join(places.select("dim", F.col("block").alias("q")), "dim")
-    data = blocks.join(pairs, ["dim", "block"])
-    data = data.select("q", "part", F.lit(1).alias("role"), "block", "dim", "n", "ids", "vectors")
-    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), places.count() // 4)
-    near = F.when(F.col("block") == F.col("q"), 0).otherwise(1)
-    rows = queries.unionByName(data).repartition(tasks, "q", "part").sortWithinPartitions("q", "part", "role", near, "block")
-    found = rows.mapInArrow(lambda it: _search(it, k, edges), "block long, row int, vec_id long, neighbor_id long, distance double")
-    rank = F.row_number().over(W.partitionBy("block", "row").orderBy("distance", "neighbor_id")).alias("rank")
-    best = found.select("vec_id", rank, "neighbor_id", "distance").where(F.col("rank") <= k)
-    real = lambda c: F.when(F.col(c) != _FAR, F.col(c)).alias(c)
+        rows.setdefault(r.dim, []).append((mean, max(r.q / r.n - mean * mean, 0) ** 0.5))
+    grids = {d: Grid(*np.array(m).T) for d, m in rows.items()}
+    cells = materialize(exact.select("rid", "dim", "v").mapInArrow(lambda it: _filed(it, grids), "dim int, n int, rids binary, off binary, cells binary"), "cells")
+    queries = exact.where("asks").select("rid", "dim", "v").mapInArrow(_asked, "dim int, n int, rids binary, vectors binary")
+    queries = materialize(queries.withColumn("at", F.monotonically_increasing_id()), "queries")
+    number = F.row_number().over(W.partitionBy("dim").orderBy("at")) - 1
+    queries_at = queries.join(queries.select("dim", "at").withColumn("q", number).drop("dim"), "at").drop("at")  # a row for 2,048 queries
+    asked = queries.groupBy("dim").agg(F.count(F.lit(1)).alias("asked"))
+    parts = cells.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    own = queries_at.join(F.broadcast(parts), "dim").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))  # a row a dimension
+    file = cells.join(F.broadcast(asked.join(parts, "dim")), "dim").withColumn("part", F.pmod(F.xxhash64("rids"), F.col("parts"))).withColumn("q", F.explode(F.expr("sequence(0, asked - 1)")))
+    names = ["dim", "q", "part", "role", "n", "rids", "off", "data"]
+    kinds = ["int", "long", "long", "int", "int", "binary", "binary", "binary"]
+    shape = lambda df: df.select(*[F.col(c).cast(t).alias(c) for c, t in zip(names, kinds)])
+    both = shape(own.withColumns({"role": F.lit(0), "off": F.lit(None), "data": F.col("vectors")})).union(shape(file.withColumns({"role": F.lit(1), "data": F.col("cells")})))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (asked.join(parts, "dim").agg(F.sum(F.col("asked") * F.col("parts"))).first()[0] or 0) // 2)
+    both = both.repartition(min(tasks, 100_000), "dim", "q", "part").sortWithinPartitions("dim", "q", "part", "role")
+    found = materialize(both.mapInArrow(lambda it: _search(it, k, grids), _FOUND), "found")
+    discard(cells, queries)
+
+    limit = found.where("rid < 0").groupBy("qid").agg(F.element_at(F.sort_array(F.flatten(F.collect_list("top"))), k).alias("limit"))
+    left = found.where("rid >= 0").select("qid", "rid", "low").join(limit, "qid").where("low <= limit")
+    left = materialize(left.select("qid", "rid", "low", F.row_number().over(W.partitionBy("qid").orderBy("low", "rid")).alias("place")), "left")
+    discard(found)
+
+    def read(pairs: DataFrame) -> DataFrame:
+        asking = exact.where("asks").select(F.col("rid").alias("qid"), "vec_id", F.col("v").alias("q"))
+        with_v = pairs.select("qid", "rid").join(exact.select("rid", F.col("vec_id").alias("neighbor_id"), "v"), "rid")
+        return with_v.join(asking, "qid").select("qid", "vec_id", "q", "neighbor_id", "v").mapInArrow(_distances, "qid long, vec_id long, neighbor_id long, distance double")
+
+    nearest = materialize(read(left.where(F.col("place") <= max(STEP, k))), "nearest")
+    kth = F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1))
+    certain = nearest.groupBy("qid").agg(F.coalesce(kth, F.lit(float("inf"))).alias("kth"))
+    more = left.where(F.col("place") > max(STEP, k)).join(certain, "qid").where(F.col("low") <= F.col("kth") * (1 + 1e-9) + 1e-9)
+    rank = F.row_number().over(W.partitionBy("qid").orderBy("distance", "neighbor_id")).alias("rank")
+    best = nearest.union(read(more)).select("vec_id", rank, "neighbor_id", "distance").where(F.col("rank") <= k)
+    real = lambda c: F.when(F.col(c) != int(_FAR), F.col(c)).alias(c)
     return best.select(real("vec_id"), "rank", real("neighbor_id"), "distance")

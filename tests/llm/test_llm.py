@@ -433,19 +433,47 @@ def test_top_k(spark):
     assert va_search.top_k(d.limit(0)).count() == 0
 
 
+def brute_nearest(x, i, k):
+    d = np.round(np.sqrt(((x.astype(np.float64) - x[i].astype(np.float64)) ** 2).sum(axis=1)), 9)
+    return [(int(j), d[j]) for j in np.lexsort((np.arange(len(x)), d)) if j != i][:k]
+
+
+def test_top_k_asked(spark, monkeypatch):
+    """Some queries, several blocks of queries and parts of the file, more candidates than are read at first, ids in any order, other columns."""
+    for name, n in (("ROWS", 16), ("QUERIES", 4), ("GROUP", 3), ("STEP", 6)):
+        monkeypatch.setattr(va_search, name, n)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(400, 5)).astype(np.float32)
+    x[50:60] = x[40]
+    rows = [(int(i), v.tolist(), 0, 0.0) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rid int, low double").repartition(3)
+    got = {}
+    for r in va_search.top_k(d, 4, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r.vec_id, {})[r.rank] = (r.neighbor_id, r.distance)
+    assert set(got) == set(range(0, 400, 10))
+    for i, found in got.items():
+        assert [found[r] for r in range(1, 5)] == [(j, pytest.approx(s)) for j, s in brute_nearest(x, i, 4)]
+    assert va_search.top_k(d, 4, F.lit(None).cast("boolean")).count() == 0
+
+
 def test_bounds_hold_and_save_reads():
     rng = np.random.default_rng(11)
-    x = rng.normal(size=(400, 8)).astype(np.float32)
-    edges = np.tile(va_search._CUTS, (8, 1))
-    table = va_search.gaps(x[:50], edges)
-    code = va_search.cells(x, edges)
-    hot = np.zeros((400, 8 * va_search.CELLS))
-    hot[np.arange(400)[:, None], code + np.arange(8) * va_search.CELLS] = 1
+    x = rng.normal(size=(400, 7)).astype(np.float32)
+    grid = va_search.Grid(np.zeros(7), np.ones(7))
+    code = grid.cells(x)
+    assert (va_search._unpacked(va_search._packed(code), 400, 7) == code).all()
     real = np.sqrt(((x[:50, None].astype(float) - x[None]) ** 2).sum(-1))
-    assert (np.sqrt(table @ hot.T) <= real + 1e-5).all()
-    best = va_search.Best(50, 3)
-    reads = va_search.scan(best, x[:50], table.astype(np.float32), np.arange(400), x, edges, False)
-    assert reads < 50 * 400 / 2 and (best.i[:, 0] == np.arange(50)).all()
+    boxes = np.sqrt(grid.gaps(x[:50])[:, np.arange(7), code].sum(axis=-1))
+    assert (boxes <= real + 1e-12).all()
+    scan = va_search.Scan(np.arange(50), x[:50], grid, 3)
+    off = np.linalg.norm(x - grid.middles(code), axis=1)
+    for at in (0, 200):
+        scan.add(np.arange(at, at + 200), off[at : at + 200], code[at : at + 200])
+    q, rid, low = scan.left()
+    np.fill_diagonal(real, np.inf)
+    assert (low <= real[q, rid]).all() and len(q) < 50 * 400 / 2 and (scan.top.max(axis=1) >= np.sort(real, axis=1)[:, 2]).all()
+    pairs = set(zip(q.tolist(), rid.tolist()))
+    assert all((i, int(j)) in pairs for i in range(50) for j in np.argsort(real[i])[:3])
 
 
 # 10 language ID
