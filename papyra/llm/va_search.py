@@ -1,6 +1,6 @@
 """Exact top-k search with vector-approximation files.
 
-The file of approximations has, for each vector, one of 16 cells a dimension (4 bits), cut at normal quantiles of that dimension's mean and deviation,
+The file of approximations has, for each vector, one of 256 cells a dimension (a byte), cut at normal quantiles of that dimension's mean and deviation,
 and the distance from the vector to the middle of its cells. Exact vectors lie in another table. A search has two phases:
 
 * Queries, in blocks, meet the whole file, in parts; no exact vector but the query's is read. The distance to the middle of the cells, less and
@@ -24,9 +24,9 @@ from pyspark.sql import Window as W
 
 from papyra.llm.common import discard, materialize
 
-CELLS = 16
+CELLS = 256
 #: Vectors in one row of the file, and queries that meet the file together.
-ROWS, QUERIES = 1024, 2048
+ROWS, QUERIES = 1024, 1024
 #: Rows of the file in a part.
 GROUP = 128
 #: Exact vectors read for a query at first, in order of bounds.
@@ -112,23 +112,12 @@ class Grid:
         return apart**2
 
 
-def _packed(cells: np.ndarray) -> bytes:
-    if cells.shape[1] % 2:
-        cells = np.concatenate([cells, np.zeros((len(cells), 1), dtype=np.uint8)], axis=1)
-    return (cells[:, ::2] | cells[:, 1::2] << 4).tobytes()
-
-
-def _unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
-    b = np.frombuffer(data, dtype=np.uint8).reshape(n, -1)
-    return np.stack([b & 15, b >> 4], axis=2).reshape(n, -1)[:, :dim]
-
-
 def _filed(batches: Iterator[pa.RecordBatch], grids: dict[int, Grid]) -> Iterator[pa.RecordBatch]:
     for dim, rids, x in _by_dim(batches, ROWS):
         code = grids[dim].cells(x)
         with np.errstate(over="ignore"):
             off = np.nextafter((np.linalg.norm(x - grids[dim].middles(code), axis=1) * (1 + 1e-6)).astype(np.float32), np.float32(np.inf))
-        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(rids)], pa.int32()), pa.array([rids.tobytes()]), pa.array([off.tobytes()]), pa.array([_packed(code)])], names=["dim", "n", "rids", "off", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(rids)], pa.int32()), pa.array([rids.tobytes()]), pa.array([off.tobytes()]), pa.array([code.tobytes()])], names=["dim", "n", "rids", "off", "cells"])
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,19 +136,32 @@ class Scan:
 
     def add(self, rids: np.ndarray, off: np.ndarray, cells: np.ndarray) -> None:
         middle, off = self.grid.middles(cells), off.astype(np.float64)
-        both = self.square[:, None] + (middle**2).sum(axis=1)
-        square = np.maximum(both - 2 * (self.queries @ middle.T), 0)
-        slack = both * (_SLACK * cells.shape[1])
-        high = np.sqrt(square + slack) * (1 + _SLACK) + off
-        low = np.sqrt(np.maximum(square - slack, 0)) * (1 - _SLACK) - off
-        order = np.argsort(self.rids)
-        at = np.minimum(np.searchsorted(self.rids, rids, sorter=order), len(order) - 1)
-        own = np.flatnonzero(self.rids[order[at]] == rids)
-        high[order[at[own]], own] = np.inf
-        low[order[at[own]], own] = np.inf
-        self.top = np.partition(np.concatenate([self.top, high], axis=1), self.k - 1, axis=1)[:, : self.k]
-        q, v = np.nonzero((low <= self.top.max(axis=1)[:, None]) & (low < np.inf))
-        self.found.append((q, rids[v], self._boxed(q, cells[v], low[q, v])))
+        norm = (middle**2).sum(axis=1)
+        slack = (self.square + norm.max()) * (_SLACK * cells.shape[1])
+        square = self.queries @ middle.T
+        square *= -2
+        square += norm
+        square += self.square[:, None]
+        q, v = np.nonzero(square <= ((self.top.max(axis=1) + off.max()) ** 2 * (1 + _SLACK) + slack)[:, None])
+        other = self.rids[q] != rids[v]
+        q, v = q[other], v[other]
+        near, slack = square[q, v], slack[q]
+        del square
+        high = np.sqrt(np.maximum(near, 0) + slack) * (1 + _SLACK) + off[v]
+        low = np.sqrt(np.maximum(near - slack, 0)) * (1 - _SLACK) - off[v]
+        self._keep(q, high)
+        fine = low <= self.top.max(axis=1)[q]
+        q, v, low = q[fine], v[fine], low[fine]
+        self.found.append((q, rids[v], self._boxed(q, cells[v], low)))
+
+    def _keep(self, q: np.ndarray, high: np.ndarray) -> None:
+        """Upper bounds of pairs, sorted by query."""
+        own, first, count = np.unique(q, return_index=True, return_counts=True)
+        if len(own):
+            wide = np.full((len(own), self.k + int(count.max())), np.inf)
+            wide[:, : self.k] = self.top[own]
+            wide[np.repeat(np.arange(len(own)), count), self.k + np.arange(len(q)) - np.repeat(first, count)] = high
+            self.top[own] = np.partition(wide, self.k - 1, axis=1)[:, : self.k]
 
     def _boxed(self, q: np.ndarray, cells: np.ndarray, low: np.ndarray) -> np.ndarray:
         """The larger of two lower bounds of each pair."""
@@ -203,7 +205,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, grids: dict[int, Grid]) -
                     yield out(scan)
                 now, scan = (dim, q, part), Scan(rids, np.frombuffer(data, dtype=np.float32).reshape(n, dim), grids[dim], k)
             if role:
-                scan.add(rids, np.frombuffer(off, dtype=np.float32), _unpacked(data, n, dim))
+                scan.add(rids, np.frombuffer(off, dtype=np.float32), np.frombuffer(data, dtype=np.uint8).reshape(n, dim))
     if scan and scan.found:
         yield out(scan)
 
@@ -244,7 +246,7 @@ def top_k(vectors: DataFrame, k: int = 10, asks: Column | None = None) -> DataFr
     queries = exact.where("asks").select("rid", "dim", "v").mapInArrow(_asked, "dim int, n int, rids binary, vectors binary")
     queries = materialize(queries.withColumn("at", F.monotonically_increasing_id()), "queries")
     number = F.row_number().over(W.partitionBy("dim").orderBy("at")) - 1
-    queries_at = queries.join(queries.select("dim", "at").withColumn("q", number).drop("dim"), "at").drop("at")  # a row for 2,048 queries
+    queries_at = queries.join(queries.select("dim", "at").withColumn("q", number).drop("dim"), "at").drop("at")  # a row for 1,024 queries
     asked = queries.groupBy("dim").agg(F.count(F.lit(1)).alias("asked"))
     parts = cells.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
     own = queries_at.join(F.broadcast(parts), "dim").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))  # a row a dimension
