@@ -95,6 +95,8 @@ class Grid:
     def __init__(self, mean: np.ndarray, deviation: np.ndarray) -> None:
         self.edges = mean[:, None] + deviation[:, None] * _CUTS
         self.middle = mean[:, None] + deviation[:, None] * _MIDDLE
+        self.below = np.concatenate([np.full((len(mean), 1), -np.inf), self.edges], axis=1)
+        self.above = np.concatenate([self.edges, np.full((len(mean), 1), np.inf)], axis=1)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """Cell of each element."""
@@ -103,13 +105,10 @@ class Grid:
     def middles(self, cells: np.ndarray) -> np.ndarray:
         return self.middle[np.arange(cells.shape[1]), cells]
 
-    def gaps(self, queries: np.ndarray) -> np.ndarray:
-        """(query, dimension, CELLS): squared distance to each cell along its dimension."""
-        q = queries[:, :, None].astype(np.float64)
-        apart = np.zeros((*queries.shape, CELLS))
-        np.maximum(apart[:, :, 1:], self.edges - q, out=apart[:, :, 1:])
-        np.maximum(apart[:, :, :-1], q - self.edges, out=apart[:, :, :-1])
-        return apart**2
+    def gaps(self, queries: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Squared distance of each query to the box of cells beside it."""
+        d = np.arange(cells.shape[1])
+        return (np.maximum(0, np.maximum(self.below[d, cells] - queries, queries - self.above[d, cells])) ** 2).sum(axis=1)
 
 
 def _filed(batches: Iterator[pa.RecordBatch], grids: dict[int, Grid]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +165,9 @@ class Scan:
     def _boxed(self, q: np.ndarray, cells: np.ndarray, low: np.ndarray) -> np.ndarray:
         """The larger of two lower bounds of each pair."""
         out = np.maximum(low, 0)
-        for own in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q // 64)) + 1):
-            if len(own):
-                first = q[own[0]] // 64 * 64
-                table = self.grid.gaps(self.queries[first : first + 64])
-                square = np.zeros(len(own))
-                for d in range(cells.shape[1]):
-                    square += table[q[own] - first, d, cells[own, d]]
-                out[own] = np.maximum(out[own], np.sqrt(square) * (1 - _SLACK * cells.shape[1]))
+        for a in range(0, len(q), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            out[part] = np.maximum(out[part], np.sqrt(self.grid.gaps(self.queries[q[part]], cells[part])) * (1 - _SLACK * cells.shape[1]))
         return out
 
     def left(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
