@@ -7,10 +7,14 @@ lies within a detection taken before, or overlaps one of higher priority, is sup
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import merge
+from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -43,11 +47,31 @@ def parse_rules(text: str = RULES) -> list[Rule]:
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Of detections (start, end, rule) those that stay, by place."""
+    """Of detections (start, end, rule) those that stay, by place: none that overlaps one of higher priority or lies in one of its own.
+
+    Kept ones of one priority do not contain each other, so only the last that starts no later can contain a detection; those of higher
+    priorities are joined to intervals that do not touch. Both are looked up by bisection.
+    """
     kept: list[tuple[int, int, Rule]] = []
-    for a, b, rule in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].number)):
-        if not any((c <= a and b <= d) or (a < d and c < b and other.priority > rule.priority) for c, d, other in kept):
+    high: list[tuple[int, int]] = []
+    for _, group in groupby(sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].number)), key=lambda x: x[2].priority):
+        own: list[tuple[int, int]] = []
+        for a, b, rule in group:
+            i = bisect_left(high, (b,))
+            if i and high[i - 1][1] > a:
+                continue
+            i = bisect_right(own, (a, math.inf))
+            if i and own[i - 1][1] >= b:
+                continue
+            own.insert(i, (a, b))
             kept.append((a, b, rule))
+        joined: list[tuple[int, int]] = []
+        for a, b in merge(high, own):
+            if joined and a <= joined[-1][1]:
+                joined[-1] = joined[-1][0], max(b, joined[-1][1])
+            else:
+                joined.append((a, b))
+        high = joined
     return sorted(kept, key=lambda x: (x[0], x[1], x[2].number))
 
 
