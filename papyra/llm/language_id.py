@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import content_key, fresh, trimmed
+from papyra.llm.common import fresh, trimmed
 
 BITS = 14
 DIM = 1 << BITS
@@ -30,7 +30,11 @@ _LETTERS = np.array([c if chr(c).isalpha() else 32 for c in range(0x10000)], dty
 def _tally(buf: list[str], rows: list[int]) -> np.ndarray:
     lens = np.array([len(s) for s in buf])
     codes = np.frombuffer("".join(buf).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    a = np.where(codes < 0x10000, np.take(_LETTERS, codes, mode="clip"), codes)
+    a = np.take(_LETTERS, codes, mode="clip")
+    beyond = np.flatnonzero(codes >= 0x10000)
+    if len(beyond):
+        own, place = np.unique(codes[beyond], return_inverse=True)
+        a[beyond] = np.array([c if chr(c).isalpha() else 32 for c in own.tolist()], dtype=np.uint32)[place]
     last, mid, first = a[2:], a[1:-1], a[:-2]
     keep = (last != 32) | (mid != 32)
     heads = (np.cumsum(lens) - lens)[1:]
@@ -163,7 +167,7 @@ def train(docs: DataFrame, sample_rows: int = 2000, label: str = "lang") -> Mode
     for g, n in df.collect():  # at most DIM + 1 rows
         seen[g] = n
     idf = (np.log((1 + seen[DIM]) / (1 + seen[:DIM])) + 1).astype(np.float32)
-    rows = docs.select(docs[label].cast("string").alias("lang"), text.alias("t"), content_key(docs["doc_id"], text).alias("h")).where("lang is not null and length(t) > 0")
+    rows = docs.select(docs[label].cast("string").alias("lang"), text.alias("t"), F.xxhash64(docs["doc_id"], text, docs[label].cast("string")).alias("h")).where("lang is not null and length(t) > 0")
     edge = rows.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     if edge is None:
         return None
