@@ -4,7 +4,8 @@ Texts are lower-cased words. An item of L words is looked for in every window of
 shingle (three words; the whole item if it has fewer) with an item of that length: any other window has similarity 0. A
 document of fewer words is one window. A window's 64-bit fingerprint is the sign of the sums of its words' hash bits, taken from running sums. Fingerprints are
 cut into radius + 1 blocks; two within the radius agree in a block, so looking up each block finds all of them. The radius
-of 21 finds 9 in 10 windows at a similarity of 0.5, also those that hold an item cut short. What is
+of 21 finds 9 in 10 windows at a similarity of 0.5, also those that hold an item cut short; its blocks have three bits at most, lookups would
+find more pairs than there are, and so the fingerprints of one length are compared directly. What is
 found is verified: weighted Jaccard similarity of the shingle multisets of window and item, a shingle's weight being
 log(1 + items / items that have it).
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -23,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import content_key, fresh, trimmed
+from papyra.llm.common import content_key, discard, fresh, materialize, trimmed
 
 _WORD = re.compile(r"\w+")
 SHINGLE = 3
 #: Items in one pass over the documents; a larger benchmark takes several.
-ITEMS_A_PASS = 20_000
+ITEMS_A_PASS, CHARS_A_PASS = 20_000, 16 << 20
 RADIUS = 21
 _SLICE_CHARS = 1 << 20
 
@@ -56,6 +58,15 @@ def simhash(words: list[str]) -> int:
     return int(_pack(_bits(words).sum(axis=0, keepdims=True))[0]) if words else 0
 
 
+def _codes(words: np.ndarray) -> np.ndarray:
+    """64-bit hash of each column of word numbers."""
+    out = np.zeros(words.shape[1], dtype=np.uint64)
+    for row in words:
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + row + np.uint64(1)
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """All numbers from each lo up to, not including, its hi."""
     n = hi - lo
@@ -115,22 +126,19 @@ class Benchmark:
         self.weights, self.unknown = {s: math.log1p(total / n) for s, n in count.items()}, math.log1p(total)
         self.mass = [sum(self.weights[s] * n for s, n in x.items()) for x in self.sets]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, x in self.items for w in x}))}
-        self.base = len(self.vocabulary) + 1
         by_code: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         by_length: dict[int, list[int]] = defaultdict(list)
         weight_of: dict[tuple[int, int], float] = {}
         for k, (_, w) in enumerate(self.items):
             by_length[len(w)].append(k)
             for s in self.sets[k]:
-                code = 0
-                for x in s:
-                    code = code * self.base + self.vocabulary[x]
+                code = int(_codes(np.array([[self.vocabulary[x]] for x in s], dtype=np.uint64))[0])
                 by_code[len(s)][code].add(len(w))
-                weight_of[len(s), code] = self.weights[s]
-        #: By shingle size and item length: sorted codes of the shingles of items of that length.
+                weight_of[len(s), code] = max(self.weights[s], weight_of.get((len(s), code), 0))
+        #: By shingle size and item length: sorted codes of the shingles of items of that length. Codes are hashes: what two shingles share is verified.
         self.codes: dict[int, tuple[np.ndarray, dict[int, np.ndarray]]] = {}
         for n, codes in by_code.items():
-            keys = np.array(sorted(codes), dtype=np.int64)
+            keys = np.array(sorted(codes), dtype=np.uint64)
             lengths = sorted({x for c in codes.values() for x in c})
             self.codes[n] = keys, {x: np.array([x in codes[int(c)] for c in keys]) for x in lengths}
         self.code_weights = {n: np.array([weight_of[n, int(c)] for c in keys]) for n, (keys, _) in self.codes.items()}
@@ -167,9 +175,7 @@ class Benchmark:
             for i in range(n):
                 fine = fine & (ids[i : len(ids) - n + 1 + i] >= 0)
             at = np.flatnonzero(fine)
-            code = np.zeros(len(at), dtype=np.int64)
-            for i in range(n):
-                code = code * self.base + ids[at + i]
+            code = _codes(np.stack([ids[at + i] for i in range(n)]).astype(np.uint64))
             place = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
             hit = keys[place] == code
             at, place = at[hit], place[hit]
@@ -213,59 +219,129 @@ class Benchmark:
         return [(d, k, p - int(start_of[p]), sim) for (d, k), (sim, p) in sorted(best.items())]
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text, hash of each different shingle) of items that have words."""
+    for batch in batches:
+        rows = []
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if w := words_of(t):
+                rows.append((i, t, [_shingle_hash(s) for s in shingles(w, SHINGLE)]))
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.list_(pa.int64())))], names=["item_id", "text", "hashes"])
+
+
+def _shingle_hash(shingle: tuple[str, ...]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(shingle).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _passes(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], dict[int, int], int]]:
+    """(items, in how many items each of their shingles is, all items): a bounded part of the benchmark for each pass over the documents.
+
+    Shingles are counted by a shuffle; the driver holds one part at a time, of ``ITEMS_A_PASS`` items and ``CHARS_A_PASS`` characters.
+    """
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where(F.length("text") > 0)
+    items = materialize(items.mapInArrow(_listed, "item_id long, text string, hashes array<long>").withColumn("n", F.monotonically_increasing_id()), "items")
+    total = items.count()
+    each = items.select("n", F.explode("hashes").alias("h"))
+    seen = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "h").groupBy("n").agg(F.collect_list(F.struct("h", "df")).alias("seen"))
+    rows = items.select("n", "item_id", "text").join(seen, "n", "left").orderBy("item_id", "text", "n")
+    part: list[tuple[int, str]] = []
+    count: dict[int, int] = {}
+    size = 0
+    for r in rows.select("item_id", "text", "seen").toLocalIterator():
+        part.append((r.item_id, r.text))
+        count.update((h, df) for h, df in r.seen or ())
+        size += len(r.text)
+        if len(part) == ITEMS_A_PASS or size >= CHARS_A_PASS:
+            yield part, count, total
+            part, count, size = [], {}, 0
+    if part:
+        yield part, count, total
+    discard(items)
+
+
+_ready: dict[str, Benchmark] = {}
+
+
+def _bench(name: str, shared, radius: int, threshold: float) -> Benchmark:
+    """A worker makes the search structures of a part once, and keeps those of the last part."""
+    if name not in _ready:
+        _ready.clear()
+        part, count, total = shared.value
+        own = {s: count.get(_shingle_hash(s), 1) for _, t in part for s in shingles(words_of(t), SHINGLE)}
+        _ready[name] = Benchmark(part, radius, threshold, own, total)
+    return _ready[name]
+
+
+def _checked(radius: int, threshold: float) -> None:
+    if not 0 < threshold <= 1 or not 0 <= radius <= 64:
+        raise ValueError("threshold must be in (0, 1], radius in [0, 64]")
+
+
+_FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("first_word", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = 0.5) -> DataFrame:
     """(doc_id, key, item_id, first_word, similarity): each document and item of ``benchmark`` (item_id, text) whose best
     window reaches ``threshold``; ``key`` is the content key of the row, which tells apart rows of one doc_id.
 
     Null and empty texts on either side match nothing; an empty table on either side gives an empty table. Equal
     similarities: the first window. Repeated documents and repeated items are reported each by itself. A null doc_id or
-    item_id is reported as null. Other columns are not read. Texts are searched whole, whatever their length.
+    item_id is reported as null. Other columns are not read. Texts are searched whole, whatever their length. A benchmark of more than
+    ``ITEMS_A_PASS`` items or ``CHARS_A_PASS`` characters takes several passes over the documents, each with its share of items and words.
     """
+    _checked(radius, threshold)
     spark = docs.sparkSession
-    items = [(r[0], r[1]) for r in benchmark.select("item_id", benchmark["text"].cast("string").alias("text")).where(F.length("text") > 0).toLocalIterator()]
-    items.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    count: Counter = Counter()
-    for _, t in items:
-        count.update(shingles(words_of(t), SHINGLE).keys())
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("first_word", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
     text = docs["text"].cast("string")
     some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), content_key(docs["doc_id"], text).alias("key"), text.alias("text")).where(F.length("text") > 0)
-    found = spark.createDataFrame([], out)
-    for at in range(0, len(items), ITEMS_A_PASS):
-        part = items[at : at + ITEMS_A_PASS]
-        own = {s: count[s] for _, t in part for s in shingles(words_of(t), SHINGLE)}
-        shared = spark.sparkContext.broadcast((part, own, len(items)))  # at most ITEMS_A_PASS items
-        found = found.union(some.mapInArrow(lambda it, s=shared: trimmed(_search(it, s, radius, threshold)), out)) if at else some.mapInArrow(lambda it, s=shared: trimmed(_search(it, s, radius, threshold)), out)
-    return found
-
-
-def _search(batches: Iterator[pa.RecordBatch], shared, radius: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    part, count, total = shared.value
-    bench = Benchmark(part, radius, threshold, count, total)
-    names = ["doc_id", "key", "item_id", "first_word", "similarity"]
-
-    def flush(docs: list[list[str]], ids: list) -> pa.RecordBatch:
-        rows = [(*ids[d], bench.items[k][0], p, sim) for d, k, p, sim in bench.search(docs)]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=names)
-
+    found = None
+    for part in _passes(benchmark):
+        shared = spark.sparkContext.broadcast(part)  # bounded by ITEMS_A_PASS and CHARS_A_PASS
+        leaks = some.mapInArrow(lambda it, s=shared, name=uuid.uuid4().hex: trimmed(_search(it, name, s, radius, threshold)), _FOUND)
+        found = leaks if found is None else found.union(leaks)
+    return spark.createDataFrame([], _FOUND) if found is None else found
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
+    """(first text, words of each) of texts that have some ``_SLICE_CHARS`` characters together."""
+    at, docs, size = 0, [], 0
+    for i, t in enumerate(texts):
+        docs.append(words_of(t))
+        size += len(t or "")
+        if size >= _SLICE_CHARS:
+            yield at, docs
+            at, docs, size = i + 1, [], 0
+    if docs:
+        yield at, docs
+
+
+def _search(batches: Iterator[pa.RecordBatch], name: str, shared, radius: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    bench = _bench(name, shared, radius, threshold)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
     for batch in batches:
-        docs, ids, size = [], [], 0
-        for i, k, t in zip(*(c.to_pylist() for c in batch.columns)):
-            docs.append(words_of(t))
-            ids.append((i, k))
-            size += len(t)
-            if size >= _SLICE_CHARS:
-                yield flush(docs, ids)
-                docs, ids, size = [], [], 0
-        if docs:
-            yield flush(docs, ids)
+        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for at, docs in _slices(batch.column(2).to_pylist()):
+            rows = [(ids[at + d], keys[at + d], bench.items[k][0], p, sim) for d, k, p, sim in bench.search(docs)]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=_FOUND.names)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows in which ``find_leaks`` finds an item; columns unchanged, cases as there."""
-    key = fresh(docs, "__key")
-    text = docs["text"].cast("string")
-    leaks = find_leaks(docs, benchmark, radius, threshold).select(F.col("key").alias(key)).distinct()
-    kept = docs.withColumn(key, content_key(docs["doc_id"], text)).join(leaks.hint("shuffle_hash"), key, "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rows in which ``find_leaks`` finds an item; columns unchanged, cases as there. Rows are judged where they are."""
+    _checked(radius, threshold)
+    columns, schema, left = docs.columns, docs.schema, docs
+    text = fresh(docs, "__text")
+    for part in _passes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            bench = _bench(name, shared, radius, threshold)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for at, docs in _slices(batch.column(batch.num_columns - 1).to_pylist()):
+                    keep[[at + d for d, _, _, _ in bench.search(docs)]] = False
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+
+        whole = left.select(*[F.col(f"`{c}`") for c in columns], left["text"].cast("string").alias(text))
+        left = whole.mapInArrow(lambda it, run=run: trimmed(run(it)), schema)
+    return left
