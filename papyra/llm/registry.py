@@ -73,7 +73,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOK
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(_table(spark, sf_dir, "documents"))
+    """Repeat and walk spans of any length."""
+    return scan_secrets(_table(spark, sf_dir, "documents"), longest=None)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
