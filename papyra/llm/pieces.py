@@ -6,9 +6,10 @@ that no merge leaves do not depend on what lies beyond. So each prefix of a word
 forward pass is Viterbi's, with a piece's length as the score of its edge where it fits the last piece of the prefix
 before it, and no path where it does not.
 
-Words of equal length advance together, a character at a time. Polynomial hashes of all substrings that end there probe
+Words of equal length advance together, a character at a time; of more than 64 characters, those of one power of two, longest first. Polynomial hashes of all substrings that end there probe
 the sorted hashes of the pieces (behind a bitmap), pairs of pieces probe the sorted pairs that were judged before, and
-the maximum over the edges is the backpointer. Only new words of a worker are encoded; a table keeps the rest.
+the maximum over the edges is the backpointer. Only new words of a worker are encoded; a table of bounded size keeps the rest, and the pairs, from one task to
+the next.
 """
 
 from __future__ import annotations
@@ -30,18 +31,59 @@ from papyra.llm.common import trimmed
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BITMAP_BITS = 22
-#: Longer words go through the pass one at a time, in Python.
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_SLOT_BITS = 22
+#: Words of up to so many characters advance with those of their own length only.
 _LONG = 64
-#: Words and pairs that a worker remembers before it starts afresh.
-_MEMORY = 400_000
+#: Characters of words in one pass.
+_CELLS = 1 << 18
+#: Characters of words, and pairs, that a worker remembers before it starts afresh: some 60 and 20 MB.
+_MEMORY, _PAIRS = 3 << 20, 1 << 20
 
 
 def _polynomial(codes: np.ndarray) -> np.ndarray:
-    h = np.uint64(0)
+    h = np.zeros(1, dtype=np.uint64)
     for c in codes:
-        h = h * _BASE + np.uint64(c) + np.uint64(1)
-    return h
+        h = h * _BASE + np.uint64(c + 1)
+    return h[0]
+
+
+class _Pairs:
+    """Pairs of pieces (first << 32 | second) that were judged: a table with open addressing."""
+
+    BITS = 21
+
+    def __init__(self) -> None:
+        self.keys = np.full(1 << self.BITS, -1, dtype=np.int64)
+        self.fits = np.zeros(1 << self.BITS, dtype=bool)
+        self.count = 0
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * _BASE >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot of each pair, whether it is there)."""
+        slot = self._slots(pairs)
+        key = self.keys[slot]
+        there = key == pairs
+        on = np.flatnonzero(~there & (key >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & (len(self.keys) - 1)
+            key = self.keys[slot[on]]
+            there[on] = key == pairs[on]
+            on = on[~there[on] & (key >= 0)]
+        return slot, there
+
+    def put(self, pairs: np.ndarray, fits: np.ndarray) -> None:
+        """Different pairs that are not there."""
+        self.count += len(pairs)
+        while len(pairs):
+            slot, _ = self.find(pairs)
+            _, first = np.unique(slot, return_index=True)
+            self.keys[slot[first]], self.fits[slot[first]] = pairs[first], fits[first]
+            rest = np.ones(len(pairs), dtype=bool)
+            rest[first] = False
+            pairs, fits = pairs[rest], fits[rest]
 
 
 class Pieces:
@@ -72,30 +114,35 @@ class Pieces:
         self.words = re.compile(f" *[^ {stop}{re.escape(marks)}]+|[{re.escape(marks)}]+|[{stop}]| +" if self.alone and marks else f" *[^ {stop}]+|[{stop}]| +" if self.alone else " *[^ ]+| +")
         real = [p for p in self.id if self.merged(p) == [p]]
         self.real = set(real)
-        keys = np.array([_polynomial([ord(c) for c in p]) for p in real], dtype=np.uint64)
+        keys = np.array([_polynomial([ord(c) for c in p]) for p in real], dtype=np.uint64) * _MIX
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array([self.id[p] for p in real], dtype=np.int64)[order]
         if len(np.unique(self.keys)) != len(keys):
             raise ValueError("two pieces have one hash")
-        self.bitmap = np.zeros(1 << _BITMAP_BITS, dtype=bool)
-        self.bitmap[self.keys >> np.uint64(64 - _BITMAP_BITS)] = True
-        self.powers = np.ones(_LONG + 2, dtype=np.uint64)
+        #: By the first bits of a hash: the first key with these bits and one more, or 0.
+        self.slots = np.zeros(1 << _SLOT_BITS, dtype=np.int32)
+        self.slots[(self.keys >> np.uint64(64 - _SLOT_BITS))[::-1]] = np.arange(len(keys), 0, -1)
+        head = self.keys >> np.uint64(64 - _SLOT_BITS)
+        #: The most keys with equal first bits.
+        self.crowd = int(np.unique(head, return_counts=True)[1].max())
+        self.powers = np.ones(self.longest + 2, dtype=np.uint64)
         for i in range(1, len(self.powers)):
-            self.powers[i] = self.powers[i - 1] * _BASE
+            self.powers[i : i + 1] = self.powers[i - 1 : i] * _BASE
         self.forget()
+        self.forget_pairs()
         bytes_of = [b"" if special[i] and not model.is_byte(i) else bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
         self.blob = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
         self.blob_len = np.array([len(b) for b in bytes_of], dtype=np.int64)
         self.blob_at = np.cumsum(self.blob_len) - self.blob_len
 
     def forget(self) -> None:
-        self.pairs = np.array([], dtype=np.int64)
-        self.pair_ok = np.array([], dtype=bool)
         self.known: dict[str, int] = {}
         self.table = np.zeros(1 << 16, dtype=np.int32)
-        self.filled = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
+        self.starts, self.sizes = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 12, dtype=np.int32)
+        self.filled = self.count = self.characters = 0
+
+    def forget_pairs(self) -> None:
+        self.pairs = _Pairs()
 
     def merged(self, text: str) -> list[str]:
         """The pieces of ``text`` by the model's merges: best score first, leftmost among equals."""
@@ -116,115 +163,107 @@ class Pieces:
 
     def _fits(self, pairs: np.ndarray) -> np.ndarray:
         """Whether the two pieces of each pair (first << 32 | second) stay two; first == 2**31 - 1: a word starts."""
-        if not len(pairs):
-            return np.zeros(0, dtype=bool)
-        at = np.searchsorted(self.pairs, pairs)
-        new = np.unique(pairs[(at == len(self.pairs)) | (self.pairs[np.minimum(at, len(self.pairs) - 1)] != pairs)]) if len(self.pairs) else np.unique(pairs)
-        if len(new):
-            ok = []
-            for p in new.tolist():
-                a, b = self._name(p >> 32), self._name(p & 0xFFFFFFFF)
-                ok.append(self.merged(a + b) == [a, b])
-            keys, oks = np.concatenate([self.pairs, new]), np.concatenate([self.pair_ok, np.array(ok)])
-            order = np.argsort(keys, kind="stable")
-            self.pairs, self.pair_ok = keys[order], oks[order]
-            at = np.searchsorted(self.pairs, pairs)
-        return self.pair_ok[at]
-
-    def _batch(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of words of one length: (last piece of each prefix, its length), each (word, prefix)."""
-        n, w = len(words[0]), len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64).reshape(w, n).T
+        slot, there = self.pairs.find(pairs)
+        if not there.all():
+            new = np.unique(pairs[~there])
+            ok = [self.merged(a + b) == [a, b] for a, b in ((self._name(p >> 32), self._name(p & 0xFFFFFFFF)) for p in new.tolist())]
+            self.pairs.put(new, np.array(ok))
+            slot, _ = self.pairs.find(pairs)
+        return self.pairs.fits[slot]
+
+    def _batch(self, words: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words of falling length: (last piece of each prefix, its length), each (prefix, word)."""
+        n, w = int(lengths[0]), len(words)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        if n == lengths[-1]:
+            codes = flat.reshape(w, n).T
+        else:
+            codes = np.zeros((n, w), dtype=np.uint64)
+            codes[np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), np.repeat(np.arange(w), lengths)] = flat
+        reach = (w - np.searchsorted(lengths[::-1], np.arange(n + 1), side="left")).tolist()
         upto = np.zeros((n + 1, w), dtype=np.uint64)
         for j in range(n):
             upto[j + 1] = upto[j] * _BASE + codes[j] + np.uint64(1)
         last, size = np.zeros((n + 1, w), dtype=np.int64), np.zeros((n + 1, w), dtype=np.int64)
         for j in range(1, n + 1):
-            most = min(j, self.longest)
+            most, live = min(j, self.longest), reach[j]
             spans = np.arange(1, most + 1)
-            h = upto[j] - upto[j - spans] * self.powers[spans][:, None]
-            row, col = np.nonzero(self.bitmap[h >> np.uint64(64 - _BITMAP_BITS)])
-            probe = h[row, col]
-            at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+            h = upto[j, :live] - upto[j - spans, :live] * self.powers[spans][:, None]
+            h *= _MIX  # hashes of short spans are small numbers
+            slot = self.slots[h >> np.uint64(64 - _SLOT_BITS)]
+            row, col = np.nonzero(slot)
+            probe, at = h[row, col], slot[row, col] - 1
             hit = self.keys[at] == probe
+            for _ in range(1, self.crowd):
+                further = np.flatnonzero(~hit & (at + 1 < len(self.keys)))
+                further = further[self.keys[at[further] + 1] <= probe[further]]
+                at[further] += 1
+                hit[further] = self.keys[at[further]] == probe[further]
             row, col, piece = row[hit], col[hit], self.key_ids[at[hit]]
-            single = np.ones(w, dtype=bool)
+            single = np.ones(live, dtype=bool)
             single[col[row == 0]] = False
             lone = np.flatnonzero(single)  # characters that are no piece are edges too
             row, col = np.concatenate([row, np.zeros(len(lone), dtype=row.dtype)]), np.concatenate([col, lone])
-            piece = np.concatenate([piece, codes[j - 1][lone].astype(np.int64) + len(self.names)])
+            piece = np.concatenate([piece, codes[j - 1, lone].astype(np.int64) + len(self.names)])
             back = j - 1 - row
             begins = back == 0
             fits = np.ones(len(row), dtype=bool)
             inner = ~begins
             fits[inner] = self._fits((last[back[inner], col[inner]] << 32) | piece[inner])
-            score = np.zeros(w, dtype=np.int64)
+            score = np.zeros(live, dtype=np.int64)
             np.maximum.at(score, col[fits], row[fits] + 1)
             best = fits & (score[col] == row + 1)
             last[j, col[best]] = piece[best]
-            size[j] = score
+            size[j, :live] = score
         return last, size
 
     def _ids(self, piece: int) -> list[int]:
         return [piece] if piece < len(self.names) else [self.byte_ids[b] for b in chr(piece - len(self.names)).encode("utf-8", "surrogatepass")]
 
-    def _one(self, word: str) -> list[int]:
-        """A long word, by the same recursion."""
-        last: list[str] = [""]
-        fits = lru_cache(maxsize=1 << 16)(lambda a, b: self.merged(a + b) == [a, b])
-        for j in range(1, len(word) + 1):
-            for i in range(max(0, j - self.longest), j):
-                t = word[i:j]
-                if (t in self.real or i == j - 1) and (i == 0 or fits(last[i], t)):
-                    last.append(t)
-                    break
-        out, j = [], len(word)
-        while j:
-            out.append(last[j])
-            j -= len(last[j])
-        return [x for t in reversed(out) for x in ([self.id[t]] if t in self.real else self._ids(ord(t) + len(self.names)))]
-
     def _learn(self, words: list[str]) -> None:
         groups: dict[int, list[str]] = {}
         for x in words:
-            groups.setdefault(len(x), []).append(x)
-        for n, group in groups.items():
-            for g in range(0, len(group), 4096):
-                part = group[g : g + 4096]
-                if n > _LONG:
-                    found = [self._one(x) for x in part]
-                else:
-                    last, size = self._batch(part)
-                    col, j, steps = np.arange(len(part)), np.full(len(part), n), []
-                    while True:
-                        live = j > 0
-                        if not live.any():
-                            break
-                        steps.append(np.where(live, last[j, col], -1))
-                        j = np.where(live, j - size[j, col], 0)
-                    path = np.array(steps[::-1]).T
-                    if int(path.max(initial=0)) < len(self.names):
-                        flat = path[path >= 0].astype(np.int32)
-                        self._add(part, flat, (path >= 0).sum(axis=1))
-                        continue
-                    found = [[x for p in row if p >= 0 for x in self._ids(p)] for row in path.tolist()]
+            groups.setdefault(len(x) if len(x) <= _LONG else 1 << 20 + len(x).bit_length(), []).append(x)
+        for group in groups.values():
+            group.sort(key=len, reverse=True)
+            at = 0
+            while at < len(group):
+                part = group[at : at + max(1, _CELLS // len(group[at]))]
+                at += len(part)
+                lengths = np.array([len(x) for x in part])
+                last, size = self._batch(part, lengths)
+                col, j, steps = np.arange(len(part)), lengths, []
+                while (live := j > 0).any():
+                    steps.append(np.where(live, last[j, col], -1))
+                    j = np.where(live, j - size[j, col], 0)
+                path = np.array(steps[::-1]).T
+                if int(path.max(initial=0)) < len(self.names):
+                    self._add(part, path[path >= 0].astype(np.int32), (path >= 0).sum(axis=1))
+                    continue
+                found = [[x for p in row if p >= 0 for x in self._ids(p)] for row in path.tolist()]
                 self._add(part, np.array([x for f in found for x in f], dtype=np.int32), np.array([len(f) for f in found]))
 
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
+
     def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        while self.filled + len(flat) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.filled : self.filled + len(flat)] = flat
-        starts = self.filled + np.cumsum(sizes) - sizes
-        base = len(self.starts)
-        self.known.update(zip(words, range(base, base + len(words))))
-        self.starts += starts.tolist()
-        self.sizes += sizes.tolist()
-        self.filled += len(flat)
+        end, count = self.filled + len(flat), self.count + len(words)
+        self.table = self._room(self.table, end)
+        self.starts, self.sizes = self._room(self.starts, count), self._room(self.sizes, count)
+        self.table[self.filled : end] = flat
+        self.starts[self.count : count] = self.filled + np.cumsum(sizes) - sizes
+        self.sizes[self.count : count] = sizes
+        self.known.update(zip(words, range(self.count, count)))
+        self.filled, self.count = end, count
+        self.characters += sum(map(len, words))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, how many each has); none for null and empty texts."""
-        if len(self.known) > _MEMORY or len(self.pairs) > 4 * _MEMORY:
+        if self.characters > _MEMORY:
             self.forget()
+        if self.pairs.count > _PAIRS:
+            self.forget_pairs()
         words: list[str] = []
         counts = []
         find = self.words.findall
@@ -241,7 +280,7 @@ class Pieces:
                 if a is not b and a != b:
                     known[a] = known.pop(b)
         which = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        starts, sizes = np.array(self.starts, dtype=np.int64)[which], np.array(self.sizes, dtype=np.int64)[which]
+        starts, sizes = self.starts[which].astype(np.int64), self.sizes[which].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.table[np.arange(total[-1]) + np.repeat(starts - total[:-1], sizes)]
         ends = np.cumsum(counts, dtype=np.int64)
@@ -297,7 +336,6 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
                 same = [None if t is None else b == t.replace(SPACE, " ") for t, b in zip(texts, back)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(counts.astype(np.int32)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
-        coder.forget()
 
     out = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(lambda it: trimmed(run(it)), out)
