@@ -1,4 +1,4 @@
-"""The published Snowball algorithm for Portuguese, for text without accents (the analyzer transliterates first)."""
+"""The published Snowball algorithm for Portuguese on ASCII words: the analyzer transliterates first, so suffixes with accents match nothing and are not here."""
 
 from __future__ import annotations
 
@@ -6,15 +6,14 @@ from functools import lru_cache
 
 _VOWELS = set("aeiou")
 _STANDARD = sorted(
-    "eza ezas ico ica icos icas ismo ismos avel ivel ista istas oso osa osos osas amento amentos imento imentos adora ador adoras adores ante antes ancia acao acoes".split(),
+    "eza ezas ico ica icos icas ismo ismos ista istas oso osa osos osas amento amentos imento imentos adora ador adoras adores ante antes".split(),
     key=len,
     reverse=True,
 )
 _VERBS = sorted(
     """ada ida ia aria eria iria ara era ira ava asse esse isse aste este iste ei arei erei irei am iam ariam eriam iriam aram eram iram avam em arem erem
     irem assem essem issem ado ido ando endo indo ar er ir as adas idas ias arias erias irias aras eras iras avas es ardes erdes irdes ares eres ires asses
-    esses isses astes estes istes is ais eis ieis arieis erieis irieis areis ereis ireis asseis esseis isseis aveis ados idos amos iamos ariamos eriamos
-    iriamos aramos eramos iramos avamos emos imos armos ermos irmos assemos essemos issemos aremos eremos iremos eu iu ou ira iras""".split(),
+    esses isses astes estes istes is ais eis areis ereis ireis ados idos amos emos imos armos ermos irmos aremos eremos iremos eu iu ou ira iras""".split(),
     key=len,
     reverse=True,
 )
@@ -48,7 +47,7 @@ def _standard(w: str, r1: int, r2: int, rv: int) -> str:
                 return word[: -len(s)] if len(word) - len(s) >= region else word
         return word
 
-    for s, new in (("logias", "log"), ("logia", "log"), ("ucoes", "u"), ("ucao", "u"), ("encias", "ente"), ("encia", "ente")):
+    for s, new in (("logias", "log"), ("logia", "log")):
         if w.endswith(s):
             return w[: -len(s)] + new if ends(s, r2) else w
     if w.endswith("amente"):
@@ -59,7 +58,7 @@ def _standard(w: str, r1: int, r2: int, rv: int) -> str:
             return drop(x[:-2], ("at",), r2)
         return drop(x, ("os", "ic", "ad"), r2)
     if w.endswith("mente"):
-        return drop(w[:-5], ("ante", "avel", "ivel"), r2) if ends("mente", r2) else w
+        return drop(w[:-5], ("ante", "avel"), r2) if ends("mente", r2) else w
     for s in ("idades", "idade"):
         if w.endswith(s):
             return drop(w[: -len(s)], ("abil", "ic", "iv"), r2) if ends(s, r2) else w

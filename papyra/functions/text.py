@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,13 +54,25 @@ def tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: F.length(t).between(MIN_TOKEN, MAX_TOKEN))
 
 
+def stemmed(words: pa.Array) -> pa.Array:
+    """Stem of each word; each distinct one is stemmed once."""
+    coded = words.dictionary_encode()
+    return pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+def offsets_from_zero(lists: pa.Array) -> pa.Array:
+    """Offsets of a list array into its ``flatten()``; null where a list is null."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.append(lists.is_null().to_numpy(zero_copy_only=False), False))
+
+
 def stems(words: Column) -> Column:
-    """Stems of an array of tokens; each worker stems a distinct word once."""
+    """Stems of an array of tokens."""
 
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None else [stem(t) for t in w] for w in rows], dtype=object)
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(offsets_from_zero(rows), stemmed(rows.flatten()))
 
-    return F.pandas_udf(run, "array<string>")(words)
+    return F.arrow_udf(run, "array<string>")(words)
 
 
 def analyze(text: Column, profile: str = "pt") -> Column:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from papyra import schemas
-from papyra.functions.stemmer import stem
-from papyra.functions.text import chunk_text, normalize_whitespace, tokens
-from papyra.tables import materialize
+from papyra.functions.text import chunk_text, normalize_whitespace, offsets_from_zero, stemmed, tokens
+from papyra.tables import file_system, materialize, spread
 
 #: Books whose chunk counts one task adds up for dense ids.
 BUCKET = 4096
@@ -21,12 +22,14 @@ BUCKET = 4096
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """chunks (doc_id, book_id, ordinal, seq, text, dl, segment_id), postings (term, doc_id, tf, dl), vocab (term, df), stats (n, total_len, avgdl)."""
+    """chunks (doc_id, book_id, ordinal, seq, text, dl, segment_id), postings (term, doc_id, tf, dl), vocab (term, df), stats (n, total_len, avgdl);
+    ``forward`` (doc_id, dl, tokens), where there is one, lets a search of many queries read each document once."""
 
     chunks: DataFrame
     postings: DataFrame
     vocab: DataFrame
     stats: DataFrame
+    forward: DataFrame | None = None
 
     def cache(self) -> SearchIndex:
         return replace(self, **{t: getattr(self, t).cache() for t in ("chunks", "postings", "vocab", "stats")})
@@ -49,9 +52,12 @@ def dense_ids(counts: DataFrame, start: int = 0) -> DataFrame:
 
 
 def _stem_all(parts: Column) -> Column:
-    @F.pandas_udf("array<array<string>>")
-    def run(chunks: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else [[stem(t) for t in w] for w in c] for c in chunks], dtype=object)
+    """Stems of arrays of arrays of tokens: each distinct token of a batch once, the rest is array arithmetic."""
+
+    @F.arrow_udf("array<array<string>>")
+    def run(chunks: pa.Array) -> pa.Array:
+        inner = chunks.flatten()
+        return pa.ListArray.from_arrays(offsets_from_zero(chunks), pa.ListArray.from_arrays(offsets_from_zero(inner), stemmed(inner.flatten())))
 
     return run(parts)
 
@@ -70,17 +76,21 @@ def chunk_books(
 
     ``dl`` counts all tokens, stopwords too. ``segment_id`` is ordinal / batch_size. ``chunk_size`` None: a book is one chunk.
     """
-    clean = dedup_books(books.select("ordinal", F.col("book_id").cast("string").alias("book_id"), normalize_whitespace("text").alias("text")))
+    some = spread(books.select("ordinal", F.col("book_id").cast("string").alias("book_id"), "text"))
+    clean = some.withColumn("text", normalize_whitespace("text")).where(F.length("text") > 0)
     parts = F.array("text") if chunk_size is None else chunk_text(F.col("text"), chunk_size, overlap)
-    rows = clean.select("ordinal", "book_id", parts.alias("parts"))
+    rows = clean.select("ordinal", "book_id", F.sha2("text", 256).alias("sha"), parts.alias("parts"))
     rows = rows.withColumn("found", F.transform("parts", tokens))
     if profile == "pt":
         rows = rows.withColumn("found", _stem_all(F.col("found")))
     stop = F.array(*[F.lit(w) for w in stopwords]).cast("array<string>")
     both = F.transform(F.arrays_zip("parts", "found"), lambda x: F.struct(x["parts"].alias("text"), x["found"].alias("all"), (F.filter(x["found"], lambda t: ~F.array_contains(stop, t)) if stopwords else x["found"]).alias("tokens")))
     size = "all" if keep_all_stopword else "tokens"
-    rows = rows.select("ordinal", "book_id", F.filter(both, lambda x: F.size(x[size]) > 0).alias("c")).where(F.size("c") > 0)
-    base = dense_ids(rows.select("ordinal", F.size("c").cast("long").alias("n")), start_doc_id)
+    rows = rows.select("ordinal", "book_id", "sha", F.filter(both, lambda x: F.size(x[size]) > 0).alias("c"))
+    # Texts are cut once; which of equal texts stays, and the ids, come from (ordinal, digest, number) alone.
+    rows = materialize(rows.withColumn("n", F.size("c").cast("long")), "books")
+    first = rows.groupBy("sha").agg(F.min(F.struct("ordinal", "n")).alias("f")).select("f.*").where("n > 0")
+    base = dense_ids(first, start_doc_id)
     flat = rows.join(base, "ordinal").select("ordinal", "book_id", "base", F.posexplode("c").alias("seq", "x"))
     return flat.select(
         (F.col("base") + F.col("seq")).alias("doc_id"), "book_id", "ordinal", "seq", F.col("x.text").alias("text"),
@@ -89,8 +99,20 @@ def chunk_books(
 
 
 def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, dl) from chunks (doc_id, dl, tokens)."""
-    return chunks.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "doc_id", "tf", "dl")
+    """(term, doc_id, tf, dl) from chunks (doc_id, dl, tokens), counted where the chunks are: a chunk's tokens are in one row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            words = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            known = len(words.dictionary) or 1
+            key, tf = np.unique(row * known + words.indices.to_numpy(), return_counts=True)
+            at = pa.array(key // known)
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(key % known)), batch.column(0).take(at), pa.array(tf.astype(np.int32)), batch.column(1).take(at)], names=["term", "doc_id", "tf", "dl"])
+
+    some = chunks.select(F.col("doc_id").cast("long"), F.col("dl").cast("int"), "tokens").where(F.size("tokens") > 0)
+    return some.mapInArrow(run, "term string, doc_id long, tf int, dl int")
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -111,31 +133,89 @@ def build_index(books: DataFrame, keep: bool = True, **options) -> SearchIndex:
     postings = term_frequencies(chunks)
     if keep:
         postings = materialize(postings, "postings")
-    return SearchIndex(chunks.drop("tokens"), postings, document_frequencies(postings), corpus_stats(chunks))
+    return SearchIndex(chunks.drop("tokens"), postings, document_frequencies(postings), corpus_stats(chunks), chunks.select("doc_id", "dl", "tokens"))
 
 
-def save_index(index: SearchIndex, path: str) -> None:
-    """Tables under ``path``; postings and vocabulary sorted by term, so that a term's row groups are found by their bounds."""
-    index.chunks.write.mode("overwrite").option("compression", "zstd").partitionBy("segment_id").parquet(f"{path}/chunks")
+_TABLES = {"chunks": schemas.CHUNKS, "postings": schemas.POSTINGS, "vocab": schemas.VOCAB, "stats": schemas.STATS, "forward": schemas.FORWARD}
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """The batches of a saved index that are whole: each has a marker, made after its tables."""
+    fs, where = file_system(spark, f"{path}/_commits")
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def _write_batch(index: SearchIndex, path: str, batch: str) -> None:
+    def put(df: DataFrame, name: str, *parts: str) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*parts).parquet(f"{path}/{name}/batch={batch}")
+
+    put(index.chunks, "chunks", "segment_id")
     for name in ("postings", "vocab"):
-        getattr(index, name).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
-    index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        put(getattr(index, name).repartitionByRange("term").sortWithinPartitions("term"), name)
+    if index.forward is not None:
+        put(index.forward, "forward")
+    put(index.stats.coalesce(1), "stats")
+    spark = index.chunks.sparkSession
+    fs, where = file_system(spark, f"{path}/_commits/{batch}")
+    fs.create(where, True).close()
+
+
+def save_index(index: SearchIndex, path: str) -> None:
+    """Tables under ``path``, in place of what is there; postings and vocabulary sorted by term, so that a term's row groups are found by their bounds."""
+    spark = index.chunks.sparkSession
+    index = replace(index, **{t: materialize(getattr(index, t), t) for t in ("chunks", "postings", "vocab", "stats", "forward") if getattr(index, t) is not None}) if committed(spark, path) else index
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+    _write_batch(index, path, "base")
 
 
 def load_index(spark: SparkSession, path: str) -> SearchIndex:
-    def read(name: str, schema: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{path}/{name}")
+    """The committed batches at ``path`` as one index; without any there is an empty one if the folder exists, else an error."""
+    batches = committed(spark, path)
+    fs, where = file_system(spark, path)
+    if not batches and not fs.exists(where):
+        raise FileNotFoundError(path)
+
+    def read(name: str) -> DataFrame:
+        schema = _TABLES[name]
+        if not batches:
+            return spark.createDataFrame([], schema)
+        rows = spark.read.schema(f"{schema}, batch string").parquet(f"{path}/{name}")
+        return rows.where(F.col("batch").isin(batches)).drop("batch")
+
+    vocab, stats = read("vocab"), read("stats")
+    if len(batches) != 1:
+        vocab = vocab.groupBy("term").agg(F.sum("df").alias("df"))
+        n, total = (F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "total_len"))
+        stats = stats.agg(n, total).withColumn("avgdl", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(0.0))
+    whole = all(fs.exists(file_system(spark, f"{path}/forward/batch={b}")[1]) for b in batches)
+    return SearchIndex(read("chunks"), read("postings"), vocab, stats, read("forward") if whole else None)
+
+
+def append_books(spark: SparkSession, path: str, batch: str, books: DataFrame, **options) -> bool:
+    """Add books to the saved index at ``path`` as one batch, ids behind the largest one; False if it has the batch already.
+
+    The marker comes last: a batch that fails is not seen, and overwritten when it runs again. One writer at a time.
+    """
+    if batch in committed(spark, path):
+        return False
+    top = load_index(spark, path).chunks.agg(F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).first()[0] if committed(spark, path) else 0
+    _write_batch(build_index(books, start_doc_id=top, **options), path, batch)
+    return True
 
-    return SearchIndex(read("chunks", schemas.CHUNKS), read("postings", schemas.POSTINGS), read("vocab", schemas.VOCAB), read("stats", schemas.STATS))
+
+def extend_index(index: SearchIndex, books: DataFrame, **options) -> SearchIndex:
+    """``index`` with further books, ids behind the largest one; a book whose id it has gets further chunks."""
+    top = index.chunks.agg(F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).first()[0]
+    more = build_index(books, start_doc_id=top, **options)
+    chunks, postings = index.chunks.unionByName(more.chunks), index.postings.unionByName(more.postings)
+    forward = index.forward.unionByName(more.forward) if index.forward is not None else None
+    return SearchIndex(chunks, postings, document_frequencies(postings), corpus_stats(chunks), forward)
 
 
 def add_books(index: SearchIndex, books: DataFrame, **options) -> SearchIndex:
     """``index`` with further books; ids go on behind the largest one. Books whose id it has already are left out."""
-    top = index.chunks.agg(F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).first()[0]
-    new = books.join(index.chunks.select("book_id").distinct(), "book_id", "left_anti").select(books.columns)
-    more = build_index(new, start_doc_id=top, **options)
-    chunks, postings = index.chunks.unionByName(more.chunks), index.postings.unionByName(more.postings)
-    return SearchIndex(chunks, postings, document_frequencies(postings), corpus_stats(chunks))
+    return extend_index(index, books.join(index.chunks.select("book_id").distinct(), "book_id", "left_anti").select(books.columns), **options)
 
 
 def posting_lists(postings: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ BOOKS = (
 WORKS = "key string, title string, authors array<string>, ratings_average double, ratings_count int, want_to_read_count int, edition_count int, subjects array<string>, last_updated timestamp"
 CHUNKS = "doc_id bigint, book_id string, ordinal bigint, seq int, text string, dl int, segment_id bigint"
 POSTINGS = "term string, doc_id bigint, tf int, dl int"
+FORWARD = "doc_id bigint, dl int, tokens array<string>"
 VOCAB = "term string, df bigint"
 STATS = "n bigint, total_len bigint, avgdl double"
 WAL = "id bigint, content string, metadata string, length int"

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from papyra.operators.metadata import last_wins
 from papyra.sources.parsers import book_page, html_text, parse_bytes
+from papyra.tables import numbered
 
 _EXTENSIONS = ("epub", "txt", "pdf")
 
@@ -25,7 +26,7 @@ def read_book_files(spark: SparkSession, folder: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.element_at(F.split(name, r"\."), -1)
     kind = F.when(ext == "epub", 0).when(ext == "txt", 1).otherwise(2)
-    order = files.select("path", kind.alias("kind")).select("path", (F.row_number().over(W.orderBy("kind", "path")) - 1).cast("long").alias("ordinal"))  # names only
+    order = numbered(files.select("path", kind.alias("kind")), ["kind", "path"], "ordinal").select("path", "ordinal")  # names only
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import html.parser
 import io
 import re
+import struct
 import zipfile
+import zlib
 
 _SKIPPED = ("toc", "nav", "cover", "license", "gutenberg", "copyright", "colophon")
 
@@ -59,9 +61,9 @@ def epub_text(content: bytes) -> str | None:
     """The pages of an e-book but for front matter, joined; None where the archive or a page can't be read."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            pages = [n for n in z.namelist() if n.endswith((".html", ".xhtml", ".htm")) and not any(s in n.lower() for s in _SKIPPED)]
+            pages = [n for n in z.namelist() if n.lower().endswith((".html", ".xhtml", ".htm")) and not any(s in n.lower() for s in _SKIPPED)]
             texts = [html_text(z.read(n).decode("utf-8")) for n in pages]
-    except (zipfile.BadZipFile, KeyError, UnicodeDecodeError, OSError, ValueError, NotImplementedError, RuntimeError):
+    except (zipfile.BadZipFile, zlib.error, struct.error, EOFError, KeyError, IndexError, UnicodeDecodeError, OSError, ValueError, NotImplementedError, RuntimeError):
         return None
     return squeeze(" ".join(filter(None, texts)))
 
