@@ -54,6 +54,14 @@ def tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: F.length(t).between(MIN_TOKEN, MAX_TOKEN))
 
 
+_TABLE = str.maketrans(dict(zip(ACCENTED, PLAIN)) | dict(PAIRS))
+
+
+def python_tokens(text: str) -> list[str]:
+    """What ``tokens`` gives for one text."""
+    return [t for t in re.split("[^a-z]+", text.lower().translate(_TABLE)) if MIN_TOKEN <= len(t) <= MAX_TOKEN]
+
+
 def stemmed(words: pa.Array) -> pa.Array:
     """Stem of each word; each distinct one is stemmed once."""
     coded = words.dictionary_encode()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from papyra.functions.text import phrase_tokens
+from papyra.functions.text import analyze, phrase_tokens
 
 SUPER_DOCUMENTS = ("dictionary", "encyclopedia", "thesaurus", "full text", "complete works", "webster's", "unabridged")
 ENRICHED = ("ratings_average", "ratings_count", "want_to_read_count", "edition_count")
@@ -29,6 +29,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
     return untouched.unionByName(fresh, allowMissingColumns=True)
 
 
+def with_cover(books: DataFrame) -> DataFrame:
+    """``books`` with a default cover address for the source that has one; rows without source or book_id are an error when they are read."""
+    key = (F.coalesce("source", F.lit("")) != "") & (F.coalesce("book_id", F.lit("")) != "")
+    default = F.when(F.col("source") == "gutenberg", F.format_string("https://www.gutenberg.org/cache/epub/%s/pg%s.cover.medium.jpg", "book_id", "book_id"))
+    cover = F.coalesce(F.nullif(F.col("cover_url"), F.lit("")), default)
+    return books.withColumn("cover_url", F.when(key, cover).otherwise(F.raise_error(F.lit("source and book_id are required"))))
+
+
+def chunk_metadata(chunks: DataFrame, meta: DataFrame, profile: str = "pt") -> DataFrame:
+    """(doc_id, book_id, metadata): JSON of each chunk's book with ``chunk_id`` and ``title_tokens``, the tokens of title and author; a book without metadata has these two only."""
+    own = meta.withColumn("title_tokens", analyze(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("author", F.lit(""))), profile))
+    names = [c for c in own.columns if c != "book_id"]
+    rows = chunks.select("doc_id", "book_id").join(own, "book_id", "left").withColumn("title_tokens", F.coalesce("title_tokens", F.array().cast("array<string>")))
+    return rows.select("doc_id", "book_id", F.to_json(F.struct(F.col("doc_id").alias("chunk_id"), "book_id", *names)).alias("metadata"))
+
+
 def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``old`` and the rows of ``new`` whose key it lacks."""
     return old.unionByName(new.join(old.select(*keys).distinct(), list(keys), "left_anti").select(new.columns))

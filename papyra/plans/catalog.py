@@ -195,7 +195,16 @@ def fuzzy_resolve(spark, sf_dir):
     return resolve_terms(query_terms(_queries(spark)), _index(spark, sf_dir).vocab)
 
 
-@_query(None)
+@_query(f"""{_BASE}, {_ASKED}, known AS (SELECT qid, term, df, CAST(row_number() OVER (PARTITION BY qid ORDER BY df, term) AS INTEGER) AS place, CAST(count(*) OVER (PARTITION BY qid) AS INTEGER) AS n_terms FROM terms JOIN vocab ON token = term),
+docs AS (SELECT qid, doc_id, list_sort(list(place)) AS places, sum(tf) AS length FROM known JOIN postings USING (term) GROUP BY qid, doc_id HAVING list_contains(list(place), 1)),
+steps AS (
+  SELECT DISTINCT qid, 1 AS t, [1] AS need, n_terms FROM known
+  UNION ALL
+  SELECT s.qid, s.t + 1, CASE WHEN (SELECT count(*) FROM docs d WHERE d.qid = s.qid AND list_has_all(d.places, s.need)) > 50
+    AND (SELECT count(*) FROM docs d WHERE d.qid = s.qid AND list_has_all(d.places, list_append(s.need, s.t + 1))) >= 20 THEN list_append(s.need, s.t + 1) ELSE s.need END, s.n_terms FROM steps s WHERE s.t < s.n_terms
+), kept AS (SELECT qid, doc_id, CASE WHEN length < floor(avgdl * 0.5) THEN floor(avgdl) ELSE length END AS l FROM docs JOIN steps USING (qid), stats WHERE t = n_terms AND list_has_all(places, need)),
+scored AS (SELECT qid, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * l / avgdl))), 6) AS score FROM kept JOIN known USING (qid) JOIN postings USING (term, doc_id), stats GROUP BY qid, doc_id)
+SELECT qid, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 10""")
 def search_rarest_term(spark, sf_dir):
     return search_rarest(_index(spark, sf_dir), _queries(spark))
 
@@ -361,14 +370,20 @@ def stem_tokens(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(analyze(F.col("text")), " ").alias("stems"))
 
 
-@_query()
+@_query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<body[^>]*>(.*?)(</body>|$)', 1, 's'), '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    from papyra.plans import stored  # noqa: F401  its queries register themselves here
+
+    return _found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _found.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _found.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

@@ -25,9 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/papyra/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later plans start there, and a lost executor costs nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/papyra/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written.papyra_path = path
