@@ -66,7 +66,8 @@ def _line_texts(text: str) -> list[str]:
 #: Rows of packed arrays: kind 0 is a batch's own state, -1 the documents it leaves out, 9 what it cuts; from 1 on questions or answers.
 _ROWS = "batch long, kind int, bucket int, data binary"
 _DOCS, _CHARS = 4096, 16 << 20
-_OWNER_BYTES = 5
+#: Of the digest that tells texts apart.
+_OWNER_BYTES = 8
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

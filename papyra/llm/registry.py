@@ -27,6 +27,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LINES_SQL = r"""
+WITH p AS (
+  SELECT doc_id, i, parts[i] AS piece FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+    SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(replace(text, chr(10), chr(10) || chr(1)), '([.!?]\s)', '\1' || chr(1), 'g'), '(\s)(\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '') AS parts
+    FROM documents WHERE regexp_matches(text, '\S')))
+), s AS (SELECT doc_id, j, string_agg(piece, '' ORDER BY i) AS span FROM (SELECT *, greatest(1, count(*) FILTER (regexp_matches(piece, '\S')) OVER (PARTITION BY doc_id ORDER BY i)) AS j FROM p) GROUP BY ALL),
+l AS (SELECT *, len(list_filter(string_split_regex(span, '\s+'), lambda x: x <> '')) AS w FROM s),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY j) AS cum FROM l),
+d AS (SELECT doc_id, list(regexp_replace(span, '^\s+|\s+$', '', 'g') ORDER BY j) AS lines FROM s GROUP BY doc_id),
+r AS (
+  SELECT 'start' AS kind, a.doc_id, a.j AS a, b.j AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.cum - a.cum + a.w >= 50 AND b.cum - b.w - a.cum + a.w < 50
+  UNION ALL SELECT 'end', a.doc_id, a.j, b.j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.cum - a.cum + a.w >= 50 AND b.cum - a.cum < 50
+), k AS (SELECT kind, doc_id, a, b, row_number() OVER (PARTITION BY kind, array_to_string(lines[a:b], chr(1)) ORDER BY doc_id, a) AS n FROM r JOIN d USING (doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS j FROM k WHERE n > 1),
+t AS (SELECT s.doc_id, regexp_replace(coalesce(string_agg(span, '' ORDER BY s.j) FILTER (g.j IS NULL), ''), '\s+$', '') AS text, count(g.j) AS gone FROM s LEFT JOIN g ON g.doc_id = s.doc_id AND g.j = s.j GROUP BY s.doc_id)
+SELECT documents.* REPLACE (CASE WHEN gone > 0 THEN t.text ELSE documents.text END AS text) FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id WHERE coalesce(gone, 0) = 0 OR t.text <> ''
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
@@ -110,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": _JACCARD_SQL, "op9_exact_top_k": _TOP_K_SQL}
+    return {"op4_jaccard_join": _JACCARD_SQL, "op5_line_dedup": _LINES_SQL, "op9_exact_top_k": _TOP_K_SQL}
