@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm.common import materialize
+from papyra.llm.common import discard, materialize
 from papyra.llm.decontaminate import drop_leaks
 from papyra.llm.jaccard_join import drop_similar
 from papyra.llm.language_id import keep_identified
@@ -49,5 +49,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``, each result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if isinstance(getattr(last, "papyra_path", None), str):
+            discard(last)  # nothing reads the stage before any more
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,55 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    own = tempfile.mkdtemp(prefix="papyra-")
-    atexit.register(shutil.rmtree, own, True)
-    sc.setCheckpointDir(own)
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/papyra/{name}-{uuid.uuid4().hex}"
+from papyra import tables
+from papyra.tables import discard, new_path  # noqa: F401  the operators take them from here
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it back: lineage ends there, and a lost executor costs nothing of it."""
-    spark, schema = df.sparkSession, df.schema
-    path = table_path(spark, name)
-    df.write.parquet(path)
+    written = tables.materialize(df, name)
     del df
-    release(spark)
-    written = spark.read.schema(schema).parquet(path)
-    written.papyra_path = path
+    release(written.sparkSession)
     return written
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.papyra_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that nothing refers to any more: it does so only when the driver collects garbage."""
     gc.collect()

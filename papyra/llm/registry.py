@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import table_path
+from papyra.llm.common import new_path
 from papyra.llm.decontaminate import find_leaks
 from papyra.llm.hmm import score
 from papyra.llm.jaccard_join import jaccard_classes
@@ -98,7 +98,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """Each call starts a cache of its own, so that it counts the whole table."""
-    return count_tokens(_table(spark, sf_dir, "documents"), table_path(spark, "token-cache"), vocabulary)
+    return count_tokens(_table(spark, sf_dir, "documents"), new_path(spark, "token-cache"), vocabulary)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
