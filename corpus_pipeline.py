@@ -15,27 +15,27 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and those whose calibrated confidence is under one half, go."""
+    """Texts without letters (null and blank ones too), and those whose calibrated confidence is under one half, go."""
     return keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words and more go, and documents of which nothing is left."""
+    """Later copies of line runs of 50 words and more go, and documents of which nothing is left; null and blank texts stay as they are."""
     return dedup_lines(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the first document stays."""
+    """Of each group of near copies the first document stays, with rows that repeat it; texts without words stay."""
     return drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and blank texts stay."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, round_trip)."""
+    """(doc_id, ids, n_tokens, round_trip) of every row; null ids for a null text."""
     return encode_pieces(docs, MODEL_FILE)
 
 
