@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +28,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def trimmed(rows: Iterator) -> Iterator:
-    """``rows``; once they are over, memory that a Python worker no longer uses goes back to the system: workers live on to the next stage."""
-    yield from rows
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, free: Callable[[], None]) -> None:
+    """A worker keeps memory from task to task under this name, until a task of another operator comes."""
+    _held[name] = free
+
+
+def _trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -39,6 +45,17 @@ def trimmed(rows: Iterator) -> Iterator:
         pass
 
 
+def trimmed(rows: Iterator, keep: str = "") -> Iterator:
+    """``rows``; before them, what a worker holds under other names than ``keep`` is freed, and once they are over, memory that it no longer uses goes back to
+    the system: workers live on to the next stage."""
+    if others := [n for n in _held if n != keep]:
+        for name in others:
+            _held.pop(name)()
+        _trim()
+    yield from rows
+    _trim()
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its names."""
     taken = {c.lower() for c in df.columns}

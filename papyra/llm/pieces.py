@@ -27,18 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import trimmed
+from papyra.llm.common import holds, trimmed
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_SLOT_BITS = 22
+_SLOT_BITS = 20
 #: Words of up to so many characters advance with those of their own length only.
 _LONG = 64
 #: Characters of words in one pass.
 _CELLS = 1 << 18
-#: Characters of words, and pairs, that a worker remembers before it starts afresh: some 60 and 20 MB.
-_MEMORY, _PAIRS = 3 << 20, 1 << 20
+#: Characters of words, and pairs, that a worker remembers before it starts afresh: some 50 and 10 MB.
+_MEMORY, _PAIRS = 5 << 19, 1 << 19
 
 
 def _polynomial(codes: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ def _polynomial(codes: np.ndarray) -> np.ndarray:
 class _Pairs:
     """Pairs of pieces (first << 32 | second) that were judged: a table with open addressing."""
 
-    BITS = 21
+    BITS = 20
 
     def __init__(self) -> None:
         self.keys = np.full(1 << self.BITS, -1, dtype=np.int64)
@@ -128,8 +128,7 @@ class Pieces:
         self.powers = np.ones(self.longest + 2, dtype=np.uint64)
         for i in range(1, len(self.powers)):
             self.powers[i : i + 1] = self.powers[i - 1 : i] * _BASE
-        self.forget()
-        self.forget_pairs()
+        self.free()
         bytes_of = [b"" if special[i] and not model.is_byte(i) else bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
         self.blob = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
         self.blob_len = np.array([len(b) for b in bytes_of], dtype=np.int64)
@@ -141,7 +140,8 @@ class Pieces:
         self.starts, self.sizes = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 12, dtype=np.int32)
         self.filled = self.count = self.characters = 0
 
-    def forget_pairs(self) -> None:
+    def free(self) -> None:
+        self.forget()
         self.pairs = _Pairs()
 
     def merged(self, text: str) -> list[str]:
@@ -263,7 +263,7 @@ class Pieces:
         if self.characters > _MEMORY:
             self.forget()
         if self.pairs.count > _PAIRS:
-            self.forget_pairs()
+            self.pairs = _Pairs()
         words: list[str] = []
         counts = []
         find = self.words.findall
@@ -327,6 +327,7 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(_local(name))
+        holds("pieces", coder.free)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
@@ -338,7 +339,7 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(counts.astype(np.int32)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     out = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(lambda it: trimmed(run(it)), out)
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(lambda it: trimmed(run(it), "pieces"), out)
 
 
 def decode_pieces(encoded: DataFrame, model_file: str) -> DataFrame:
