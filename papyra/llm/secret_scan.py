@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm.common import discard, materialize, trimmed
+
 _WORDS = """password 123456 12345678 qwerty abc123 monkey letmein dragon baseball iloveyou master sunshine ashley bailey passw0rd
 shadow superman michael football welcome jesus ninja mustang jordan hunter buster soccer harley batman andrew tigger charlie robert
 thomas hockey ranger daniel starwars klaster george computer michelle jessica pepper freedom maggie ginger princess joshua cheese
@@ -396,8 +398,16 @@ _GATE = re.compile(GATE, re.IGNORECASE)
 def corpus_ranks(docs: DataFrame, words: int = 20_000, min_count: int = 5) -> dict[str, int]:
     """Ranks of the listed words, then of the ``words`` most frequent other ones of the texts that occur ``min_count`` times outside values: a bounded table."""
     text = docs["text"].cast("string")
-    counts = docs.select(text.alias("t")).where(F.length("t") > 0).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where((F.col("n") >= min_count) & ~F.col("word").isin(*RANK)).orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = docs.select(text.alias("t")).where(F.length("t") > 0).mapInArrow(lambda it: trimmed(_counted(it)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.where((F.col("n") >= min_count) & ~F.col("word").isin(*RANK)), "counts")
+    # The count that the last of the words has, from how many words have each count: tasks then send the driver little more than the words asked for.
+    least, left = min_count, words
+    for n, k in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        least, left = n, left - k
+        if left <= 0:
+            break
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words).collect()
+    discard(counts)
     return RANK | {r.word: len(RANK) + i for i, r in enumerate(top, 1)}
 
 
