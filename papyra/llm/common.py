@@ -47,7 +47,10 @@ def _trim() -> None:
 
 def trimmed(rows: Iterator, keep: str = "") -> Iterator:
     """``rows``; before them, what a worker holds under other names than ``keep`` is freed, and once they are over, memory that it no longer uses goes back to
-    the system: workers live on to the next stage."""
+    the system: workers live on to the next stage. What a worker has imported by its first task is not searched for garbage after each."""
+    if not gc.get_freeze_count():
+        gc.collect()
+        gc.freeze()
     if others := [n for n in _held if n != keep]:
         for name in others:
             _held.pop(name)()

@@ -386,7 +386,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
             yield _rows([(b, -1, 0, pickle.dumps(np.array(d))) for b, d in zip(*(c.to_pylist() for c in batch.columns))])
 
     leave = copies.groupBy("batch").agg(F.collect_list("doc").alias("docs")).mapInArrow(names, _ROWS)
-    by_batch = lines.unionByName(leave).repartition(parts, "batch").sortWithinPartitions("batch", "kind", "bucket")
+    by_batch = lines.unionByName(leave).repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
     state = materialize(by_batch.mapInArrow(lambda it: trimmed(_stretches(it, min_words, bits)), _ROWS), "stretches")
     discard(lines)
 
@@ -395,9 +395,9 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     while (top := state.where("kind = 0").agg(F.max("bucket")).first()[0] or 0) >= 1 << depth:
         own = state.where("kind = 0")
         last = top < 2 << depth
-        asked = own.mapInArrow(lambda it, d=depth, z=last: _ask(it, d, bits, z), _ROWS).repartition(parts, "bucket", "kind")
+        asked = own.mapInArrow(lambda it, d=depth, z=last: _ask(it, d, bits, z), _ROWS).repartition("bucket", "kind")  # without a number: few rows make few tasks
         answers = asked.mapInArrow(lambda it: _answer(it, bits), _ROWS)
-        both = own.unionByName(answers).repartition(parts, "batch").sortWithinPartitions("batch", "kind", "bucket")
+        both = own.unionByName(answers).repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
         cuts.append(materialize(both.mapInArrow(lambda it, d=depth: _advance(it, d, bits), _ROWS), f"depth{depth}"))
         if not depth:
             discard(state)
