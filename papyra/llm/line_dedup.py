@@ -15,7 +15,8 @@ pieces that are already known, and the union of the pieces is the union of the m
 
 What is shuffled are packed arrays. A batch of documents asks about its distinct line ids, pairs of ranks and names of
 intervals, each in the range of the suffix array (or hash range) it belongs to; the answers come back in the order of
-the questions: whether a line repeats, the rank of a pair, whether a name's first occurrence is here.
+the questions: whether a line repeats, the rank of a pair, whether a name's first occurrence is here. A task of each of
+these steps gives its memory back when it is over: one executor has up to four workers, for two such steps in a stage.
 """
 
 from __future__ import annotations
@@ -376,7 +377,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 columns = (np.full(len(o), number), np.arange(len(o), dtype=np.int32), o, k, t1.view(np.int64), t2.view(np.int64), words >= min_words)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["batch", "doc", "o", "k", "t1", "t2", "long"])
 
-    all_ = lines.where("kind = 0").mapInArrow(texts, "batch long, doc int, o long, k long, t1 long, t2 long, long boolean")
+    all_ = lines.where("kind = 0").mapInArrow(lambda it: trimmed(texts(it)), "batch long, doc int, o long, k long, t1 long, t2 long, long boolean")
     firsts = all_.groupBy("t1", "t2").agg(F.min(F.struct("o", "k", "batch", "doc")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = all_.join(firsts, ["t1", "t2"]).where(F.struct("o", "k", "batch", "doc") != F.col("f")).select("batch", "doc", "o", "k", "long", (F.struct("o", "k") != F.struct("f.o", "f.k")).alias("other"))
     copies = materialize(copies, "copies")
@@ -385,7 +386,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         for batch in batches:
             yield _rows([(b, -1, 0, pickle.dumps(np.array(d))) for b, d in zip(*(c.to_pylist() for c in batch.columns))])
 
-    leave = copies.groupBy("batch").agg(F.collect_list("doc").alias("docs")).mapInArrow(names, _ROWS)
+    leave = copies.groupBy("batch").agg(F.collect_list("doc").alias("docs")).mapInArrow(lambda it: trimmed(names(it)), _ROWS)
     by_batch = lines.unionByName(leave).repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
     state = materialize(by_batch.mapInArrow(lambda it: trimmed(_stretches(it, min_words, bits)), _ROWS), "stretches")
     discard(lines)
@@ -395,10 +396,10 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     while (top := state.where("kind = 0").agg(F.max("bucket")).first()[0] or 0) >= 1 << depth:
         own = state.where("kind = 0")
         last = top < 2 << depth
-        asked = own.mapInArrow(lambda it, d=depth, z=last: _ask(it, d, bits, z), _ROWS).repartition("bucket", "kind")  # without a number: few rows make few tasks
-        answers = asked.mapInArrow(lambda it: _answer(it, bits), _ROWS)
+        asked = own.mapInArrow(lambda it, d=depth, z=last: trimmed(_ask(it, d, bits, z)), _ROWS).repartition("bucket", "kind")  # without a number: few rows make few tasks
+        answers = asked.mapInArrow(lambda it: trimmed(_answer(it, bits)), _ROWS)
         both = own.unionByName(answers).repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
-        cuts.append(materialize(both.mapInArrow(lambda it, d=depth: _advance(it, d, bits), _ROWS), f"depth{depth}"))
+        cuts.append(materialize(both.mapInArrow(lambda it, d=depth: trimmed(_advance(it, d, bits)), _ROWS), f"depth{depth}"))
         if not depth:
             discard(state)
         state = cuts[-1]
@@ -420,7 +421,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         cut = cuts[0]
         for c in cuts[1:]:
             cut = cut.unionByName(c)
-        cut = cut.where("kind = 9").mapInArrow(runs, "o long, k long, cut array<int>")
+        cut = cut.where("kind = 9").mapInArrow(lambda it: trimmed(runs(it)), "o long, k long, cut array<int>")
         cut = cut.groupBy("o", "k").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
         found = whole.unionByName(cut.select("o", "k", F.lit(False).alias("whole"), "cut"))
     found = materialize(found, "cuts")
@@ -438,6 +439,10 @@ def _without(text: pd.Series, cut: pd.Series) -> pd.Series:
     return pd.Series([one(t, g) for t, g in zip(text, cut)], dtype=object)
 
 
+def _rebuilt(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    return trimmed(_without(t, g) for t, g in parts)
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 50, drop_emptied: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, any others) with every line deleted from ``text`` that lies in a run of lines of at least
     ``min_words`` words which occurs earlier (smaller doc_id, null ids last, or before in the same text).
@@ -453,7 +458,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, drop_emptied: bool = True)
     cuts = cuts.select(F.col("o").alias(o), F.col("k").alias(k), F.col("cut").alias(cut), F.col("whole").alias(whole))
     joined = docs.withColumns({o: id_order(docs["doc_id"]), k: content_key(docs["doc_id"], text)}).join(cuts.hint("shuffle_hash"), [o, k], "left")
     hit = F.col(cut).isNotNull()
-    new = F.pandas_udf(_without, T.StringType())(F.when(hit, F.col("text")), F.when(hit, F.col(cut)))
+    new = F.pandas_udf(_rebuilt, T.StringType())(F.when(hit, F.col("text")), F.when(hit, F.col(cut)))
     if drop_emptied:
         joined = joined.where(f"not coalesce({whole}, false)")
     result = joined.withColumn("text", F.when(hit, new).when(F.col(whole), F.lit("")).otherwise(F.col("text")))
