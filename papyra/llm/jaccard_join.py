@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import content_key, discard, fresh, id_order, materialize, trimmed, whole_groups
+from papyra.llm.common import content_key, discard, fresh, id_order, materialize, small_batches, trimmed, whole_groups
 from papyra.llm.components import components
 
 _WORD = re.compile(r"\w+")
@@ -34,6 +34,10 @@ _DOC_BITS = 10
 _LOW = np.uint64((1 << _DOC_BITS) - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _CHARS = 4 << 20
+#: Words whose hashes a task remembers: some 18 MB.
+_KNOWN = 1 << 17
+#: Cells of the matrix that overlaps are counted in: 4 bytes each.
+_DENSE = 1 << 22
 #: Members of a cluster in one block of the verification.
 _BLOCK = 256
 _PACKED = "bucket int, batch long, grams binary, df binary"
@@ -115,27 +119,33 @@ def _grams(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.
             if len(docs) == 1 << _DOC_BITS or size >= _CHARS:
                 yield flush(docs, parts)
                 docs, parts, size = [], [], 0
-            if len(known) > 1_000_000:
+            if len(known) > _KNOWN:
                 known.clear()
     if docs:
         yield flush(docs, parts)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's buckets the hashes that occur at least twice, by batch, with their frequency; documents as they come."""
-    numbers, parts = [], []
+    """Of a partition's buckets the hashes that occur at least twice, by batch, with their frequency; documents as they come. Buckets wait packed and
+    are unpacked one at a time: equal hashes are of one bucket."""
+    held: dict[int, tuple[list[int], list[bytes]]] = {}
     for batch in batches:
         for bucket, number, grams, _ in zip(*(c.to_pylist() for c in batch.columns)):
             if bucket < 0:
                 yield _packed([(bucket, number, grams, None)])
             else:
+                numbers, blobs = held.setdefault(bucket, ([], []))
                 numbers.append(number)
-                parts.append(_unplanes(grams, "<u8"))
-    if not parts:
-        return
-    keys = np.concatenate(parts)
-    source = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-    del parts
+                blobs.append(grams)
+    for bucket in list(held):
+        yield from _repeated_in(*held.pop(bucket))
+
+
+def _repeated_in(numbers: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The hashes of one bucket that occur at least twice."""
+    keys = np.concatenate([_unplanes(b, "<u8") for b in blobs])
+    source = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(b) // keys.itemsize for b in blobs])
+    blobs.clear()
     value = keys >> np.uint64(_DOC_BITS)
     order = np.argsort(value)
     value = value[order]
@@ -231,7 +241,7 @@ def _overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarra
         values, column = np.unique(flat, return_inverse=True)
         row = np.repeat(np.arange(len(members)), [len(sets[m]) for m in members])
         lx, ly = local[: len(at)], local[len(at) :]
-        step = max(1, (1 << 24) // len(members))
+        step = max(1, _DENSE // len(members))
         for c in range(0, len(values), step):
             own = (column >= c) & (column < c + step)
             dense = np.zeros((len(members), min(step, len(values) - c)), dtype=np.float32)
@@ -270,8 +280,12 @@ def similar_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> tuple[D
     (o, k, first_o, first_k) for the further documents of one set."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1], n at least 1")
+    with small_batches(docs.sparkSession):  # all steps in Python run in here
+        return _similar_sets(docs, n, threshold)
+
+
+def _similar_sets(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
-    t = threshold
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, math.ceil(math.log2(4 * parts)))
     text = docs["text"].cast("string")
@@ -286,7 +300,7 @@ def similar_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> tuple[D
                 columns = [np.full(len(d), number), np.arange(len(d), dtype=np.int32), *(np.ascontiguousarray(d[c]).view("<i8") for c in _DOC.names)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["batch", "doc", *_DOC.names])
 
-    found = packed.where("bucket = -1").select("batch", "grams").mapInArrow(unpack, "batch long, doc int, o long, k long, size long, d1 long, d2 long")
+    found = packed.where("bucket = -1").select("batch", "grams").mapInArrow(lambda it: trimmed(unpack(it)), "batch long, doc int, o long, k long, size long, d1 long, d2 long")
     alike = found.groupBy("d1", "d2", "size").agg(F.min(F.struct("o", "k", "batch", "doc")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = materialize(found.join(alike, ["d1", "d2", "size"]).where(F.struct("o", "k", "batch", "doc") != F.col("f")).select("batch", "doc", "o", "k", F.col("f.o").alias("first_o"), F.col("f.k").alias("first_k")), "same")
     leave = later.groupBy("batch").agg(F.collect_list("doc").alias("docs"))
@@ -295,10 +309,10 @@ def similar_sets(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> tuple[D
         for batch in batches:
             yield _packed([(-2, b, np.array(d, dtype="<i4").tobytes(), None) for b, d in zip(*(c.to_pylist() for c in batch.columns))])
 
-    ordered = packed.unionByName(leave.mapInArrow(names, _PACKED)).repartition("batch").sortWithinPartitions("batch", "bucket")
+    ordered = packed.unionByName(leave.mapInArrow(lambda it: trimmed(names(it)), _PACKED)).repartition("batch").sortWithinPartitions("batch", "bucket")
     sets = materialize(ordered.mapInArrow(lambda it: trimmed(_sets(it, t)), _SETS).withColumn("id", F.monotonically_increasing_id()), "sets")
     discard(packed)
-    prefixes = sets.select("id", "size", "common", "grams").mapInArrow(lambda it: _prefixes(it, t), "gram long, id long, size int, pos int, suffix long")
+    prefixes = sets.select("id", "size", "common", "grams").mapInArrow(lambda it: trimmed(_prefixes(it, t)), "gram long, id long, size int, pos int, suffix long")
     prefixes = materialize(prefixes, "prefixes")
     a, b = (prefixes.select("gram", *[F.col(c).alias(c + s) for c in ("id", "size", "pos", "suffix")]) for s in ("1", "2"))
     need = F.ceil(t / (1 + t) * (F.col("size1") + F.col("size2")) - 1e-9)
