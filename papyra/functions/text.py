@@ -62,6 +62,39 @@ def python_tokens(text: str) -> list[str]:
     return [t for t in re.split("[^a-z]+", text.lower().translate(_TABLE)) if MIN_TOKEN <= len(t) <= MAX_TOKEN]
 
 
+#: What Java's (?U)\s matches, but for the space.
+_WHITE = "\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_WHITE}][ {_WHITE}]*| [ {_WHITE}]+")
+_MARKED = re.compile("[^\x00-\x7f]")
+_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+
+
+def squeezed(text: str) -> str:
+    """What ``normalize_whitespace`` gives for one text."""
+    return _RUN.sub(" ", text).strip(" ")
+
+
+def _letters(text: str) -> bytes:
+    low = text.lower()
+    return (low if low.isascii() else _MARKED.sub(lambda m: _TABLE.get(ord(m[0]), " "), low)).encode().translate(_LETTERS)
+
+
+def token_lists(texts: list[str]) -> pa.ListArray:
+    """``tokens`` of each text, by array arithmetic over the bytes of all of them."""
+    parts = [_letters(t) for t in texts]
+    data = np.frombuffer(b" ".join([b"", *parts, b""]), dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(data != 32)) + 1
+    begin, n = edge[::2], edge[1::2] - edge[::2]
+    own = (n >= MIN_TOKEN) & (n <= MAX_TOKEN)
+    begin, n = begin[own], n[own]
+    step = np.zeros(len(data), dtype=np.int8)
+    step[begin], step[begin + n] = 1, -1
+    letters = data[np.cumsum(step, dtype=np.int8).astype(bool)]
+    words = pa.StringArray.from_buffers(len(n), pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.py_buffer(letters.tobytes()))
+    at = np.searchsorted(begin, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), words)
+
+
 def stemmed(words: pa.Array) -> pa.Array:
     """Stem of each word; each distinct one is stemmed once."""
     coded = words.dictionary_encode()

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra import tables
+from papyra.memory import BATCH, holds, small_batches, trimmed  # noqa: F401
 from papyra.tables import discard, new_path  # noqa: F401  the operators take them from here
 
 
@@ -29,53 +27,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Bytes after which a batch of rows that hold megabytes is handed to Python.
-BATCH = "4m"
-
-
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Plans that run meanwhile hand few rows at a time to Python: one row holds megabytes, and a batch is held by executor and worker, as often as it is copied."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, BATCH)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
-_held: dict[str, Callable[[], None]] = {}
-
-
-def holds(name: str, free: Callable[[], None]) -> None:
-    """A worker keeps memory from task to task under this name, until a task of another operator comes."""
-    _held[name] = free
-
-
-def _trim() -> None:
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # not glibc
-        pass
-
-
-def trimmed(rows: Iterator, keep: str = "") -> Iterator:
-    """``rows``; before them, what a worker holds under other names than ``keep`` is freed, and once they are over, memory that it no longer uses goes back to
-    the system: workers live on to the next stage. What a worker has imported by its first task is not searched for garbage after each."""
-    if not gc.get_freeze_count():
-        gc.collect()
-        gc.freeze()
-    if others := [n for n in _held if n != keep]:
-        for name in others:
-            _held.pop(name)()
-        _trim()
-    yield from rows
-    _trim()
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its names."""
     taken = {c.lower() for c in df.columns}
