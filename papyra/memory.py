@@ -7,7 +7,9 @@ import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Bytes after which a batch of rows that hold megabytes is handed to Python.
@@ -55,3 +57,14 @@ def trimmed(rows: Iterator, keep: str = "") -> Iterator:
         _trim()
     yield from rows
     _trim()
+
+
+def by_length(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Slices of batches in which the lists of ``column`` have ``most`` values together, or which have one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        i = before = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(i, j - i)
+            i, before = j, int(ends[j - 1])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.functions.codecs import decode_postings, encode_postings
+from papyra.functions.codecs import decode_lists, encode_lists
 from papyra.functions.text import normalize_whitespace
+from papyra.memory import by_length, trimmed
 from papyra.operators import index as ix
 from papyra.operators import metadata as md
 from papyra.operators.search import search
@@ -125,13 +127,15 @@ def posting_bytes(spark, sf_dir):
     """Posting lists as bytes, and read from them again."""
 
     def run(batches):
-        for batch in batches:
-            data = [encode_postings([(p["doc_id"], p["tf"]) for p in x]) for x in batch.column(1).to_pylist()]
-            back = [" ".join(f"{d}:{tf}" for d, tf in decode_postings(b)) for b in data]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in data]), pa.array(back, pa.string())], names=["term", "n_bytes", "postings"])
+        for batch in by_length(batches, 1):
+            data = encode_lists(batch.column(1))
+            ends, doc, tf = decode_lists(data)
+            pairs = pc.binary_join_element_wise(*(pa.array(x).cast(pa.string()) for x in (doc, tf)), ":")
+            back = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pairs), " ")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(data).cast(pa.int64()), back], names=["term", "n_bytes", "postings"])
 
     lists = ix.posting_lists(ix.build_index(_books(spark, sf_dir)).postings)
-    return lists.select("term", "postings").mapInArrow(run, "term string, n_bytes long, postings string")
+    return lists.select("term", "postings").mapInArrow(lambda it: trimmed(run(it)), "term string, n_bytes long, postings string")
 
 
 @_query(f"""{_BASE}, meta AS ({_META}) SELECT doc_id, m.title, len({_tok("coalesce(m.title, '') || ' ' || coalesce(m.author, '')")}) AS n_title_tokens,
