@@ -25,7 +25,7 @@ _HALF = 500
 
 def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books by distinct text, white space normalised: batches of an index do not look for equal texts in each other."""
-    return materialize(ix.dedup_books(_books(spark, sf_dir).withColumn("text", normalize_whitespace("text"))), "unique")
+    return materialize(ix.dedup_books(_books(spark, sf_dir).withColumn("text", normalize_whitespace("text"))), "unique", "zstd")
 
 
 @_query(f"{_SEARCH}, {_hits(10)} SELECT * FROM hits")
@@ -48,7 +48,7 @@ def appended_index(spark, sf_dir):
 def streamed_index(spark, sf_dir):
     source, path, checkpoint, books = new_path(spark, "source"), new_path(spark, "streamed"), new_path(spark, "checkpoint"), _unique(spark, sf_dir)
     for part in (F.col("ordinal") < _HALF, F.col("ordinal") >= _HALF):
-        books.where(part).write.mode("append").parquet(source)
+        books.where(part).write.mode("append").option("compression", "zstd").parquet(source)
         index_stream(spark, source, "ordinal long, book_id string, text string", path, checkpoint).awaitTermination()
     return ix.load_index(spark, path).vocab
 

@@ -29,10 +29,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/papyra/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later plans start there, and a lost executor costs nothing of it."""
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: later plans start there, and a lost executor costs nothing of it. ``compression``: of the files, where it is not the session's."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write if compression is None else df.write.option("compression", compression)).parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written.papyra_path = path
     return written

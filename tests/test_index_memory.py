@@ -69,7 +69,7 @@ def test_a_long_book_is_cut_some_chunks_at_a_time():
 def test_few_tables_are_written(spark, monkeypatch):
     """Before: books, chunks and postings, and texts with their tokens went through a shuffle."""
     names, write = [], ix.materialize
-    monkeypatch.setattr(ix, "materialize", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(ix, "materialize", lambda df, name, *a: names.append(name) or write(df, name, *a))
     own = ix.build_index(spark.createDataFrame([(0, "0", "one two two"), (1, "1", "two three")], BOOK))
     assert own.stats.first().n == 2 and names == ["chunks", "buckets"]
     assert {r.term: r.df for r in own.vocab.collect()} == {"one": 1, "two": 2, "three": 1} and own.vocab is own.vocab and names == ["chunks", "buckets", "vocab"]
